@@ -48,8 +48,14 @@ def _short_columns(values: DataFrame) -> DataFrame:
             ),
         )
 
-    paired = gathered.withColumn("pairs", F.flatten(F.transform("v", with_later)))
-    best = paired.withColumn("best", F.array_min("pairs")).filter(F.col("best").isNotNull())
+    # Exploding an array of one keeps the optimizer from repeating its expression wherever the
+    # result is used, which inside the lambdas below would be once per element.
+    paired = gathered.select(
+        "*", F.explode(F.array(F.flatten(F.transform("v", with_later)))).alias("pairs")
+    )
+    best = paired.select("*", F.explode(F.array(F.array_min("pairs"))).alias("best")).filter(
+        F.col("best").isNotNull()
+    )
 
     def member(end: str) -> Column:
         return F.get(F.filter("v", lambda x: x["r"] == F.col(f"best.{end}")), F.lit(0))
@@ -374,10 +380,14 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
 # ---- measure -------------------------------------------------------------------------------------
 
 
-def spelling_pairs(values: DataFrame, profiled: DataFrame, short: int | None = None) -> DataFrame:
-    """(key, d, i, j, text_i, text_j, d_i, d_j): closest pair, and the distance left without i or j."""
+def spelling_pairs(
+    values: DataFrame, profiled: DataFrame, largest: int, short: int | None = None
+) -> DataFrame:
+    """(key, d, i, j, text_i, text_j, d_i, d_j): closest pair, and the distance left without i or j.
+
+    `largest` is the largest number of distinct texts of a column.
+    """
     short = SHORT_COLUMN if short is None else short
-    largest = profiled.agg(F.max("n_texts")).first()[0] or 0
     texts = values.select(*COLUMN_KEY, "text", "n", "first_row")
     if largest <= short:
         return _short_columns(texts)
@@ -393,14 +403,18 @@ def spelling_pairs(values: DataFrame, profiled: DataFrame, short: int | None = N
 
 
 def spelling_measures(
-    values: DataFrame, profiled: DataFrame, double_bucket: bool = False, short: int | None = None
+    values: DataFrame,
+    profiled: DataFrame,
+    largest: int,
+    double_bucket: bool = False,
+    short: int | None = None,
 ) -> DataFrame:
     """One row per column with a closest pair whose token sets differ.
 
     mpd, mpd_p (Infinity where no pair is left) and the suspect row: j if dropping it leaves the
     larger distance, else i. `double_bucket` applies the token-length buckets twice.
     """
-    pairs = spelling_pairs(values, profiled, short)
+    pairs = spelling_pairs(values, profiled, largest, short)
     infinite = F.lit(float("inf"))
     left_i = F.coalesce(F.col("d_i").cast("double"), infinite)
     left_j = F.coalesce(F.col("d_j").cast("double"), infinite)

@@ -27,6 +27,7 @@ from tablewarden.sources.lake import Lake
 
 # Looked-up cells are fetched by broadcasting their row keys up to this many, counted, rows.
 LOOKUP_ROWS = 200_000
+ROW_KEY = ["table_id", "row_idx"]
 
 
 def gate(measures: DataFrame, scores: tuple[str, str]) -> DataFrame:
@@ -45,35 +46,31 @@ def _scored(candidates: DataFrame, counts: DataFrame, on: list[str]) -> DataFram
 
 
 def _score(
-    measures: DataFrame, model: DataFrame, features: list[str], scores: tuple[str, str], name: str
+    candidates: DataFrame, model: DataFrame, features: list[str], scores: tuple[str, str]
 ) -> DataFrame:
-    candidates = stage(gate(measures, scores), name)
     counts = likelihood_counts(candidates, model, features, scores)
     scored = _scored(candidates, counts, [*features, *scores])
     return scored.withColumn("LR", likelihood_ratio(F.col("p_dot"), F.col("p_dt")))
 
 
-def score_uv(measures: DataFrame, model: DataFrame) -> DataFrame:
+def score_uv(candidates: DataFrame, model: DataFrame) -> DataFrame:
     """Candidates with p_dt, p_dot and LR, where p_dt > 0."""
-    scored = _score(measures, model, UV_FEATURES, UV_SCORES, "uv_candidates")
-    return scored.filter(F.col("p_dt") > 0)
+    return _score(candidates, model, UV_FEATURES, UV_SCORES).filter(F.col("p_dt") > 0)
 
 
-def score_fd(measures: DataFrame, model: DataFrame) -> DataFrame:
+def score_fd(candidates: DataFrame, model: DataFrame) -> DataFrame:
     """Candidate pairs with p_dt, p_dot and LR, where both counts are positive."""
-    scored = _score(measures, model, FD_FEATURES, FD_SCORES, "fd_candidates")
+    scored = _score(candidates, model, FD_FEATURES, FD_SCORES)
     return scored.filter((F.col("p_dt") > 0) & (F.col("p_dot") > 0))
 
 
-def score_se(measures: DataFrame, model: DataFrame) -> DataFrame:
+def score_se(candidates: DataFrame, model: DataFrame) -> DataFrame:
     """Candidates with p_dt, p_dot and LR, where p_dt > 0."""
-    scored = _score(measures, model, SE_FEATURES, SE_SCORES, "se_candidates")
-    return scored.filter(F.col("p_dt") > 0)
+    return _score(candidates, model, SE_FEATURES, SE_SCORES).filter(F.col("p_dt") > 0)
 
 
-def score_no(measures: DataFrame, model: DataFrame) -> DataFrame:
+def score_no(candidates: DataFrame, model: DataFrame) -> DataFrame:
     """All candidates; LR is the better of the raw and the log ratio, NULL if both are undefined."""
-    candidates = stage(gate(measures, NO_SCORES), "no_candidates")
     on = [*NO_FEATURES, *NO_SCORES]
     raw = likelihood_counts(candidates, model, NO_FEATURES, NO_SCORES, larger_is_extreme=True)
     log = likelihood_counts(
@@ -95,26 +92,44 @@ def score_no(measures: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
-def lookup_rows(lake: Lake, wanted: DataFrame) -> DataFrame:
-    """(table_id, row_idx, cells) of the wanted (table_id, row_idx); `wanted` is counted, so stage it."""
-    keys = wanted.select("table_id", "row_idx").distinct()
-    if wanted.count() <= LOOKUP_ROWS:
-        return lake.rows.join(F.broadcast(keys), ["table_id", "row_idx"])
-    return lake.rows.join(keys, ["table_id", "row_idx"], "left_semi")
-
+def lookup_rows(lake: Lake, candidates: DataFrame) -> DataFrame:
+    """(table_id, row_idx, cells) of the suspect rows of a stage table of candidates.
 
-def _cell(column: Column) -> Column:
-    return F.get("cells", column)
+    The lake stays where it is while the counted row keys are few enough to broadcast; beyond, the
+    keys are unique rows, so the shuffle has no hot key.
+    """
+    keys = candidates.select("table_id", F.col("suspect_row").alias("row_idx")).distinct()
+    if candidates.count() <= LOOKUP_ROWS:
+        keys = F.broadcast(keys)
+    return lake.rows.join(keys, ROW_KEY, "left_semi")
 
 
-def _clean_rows(clean: Lake | None, wanted: DataFrame) -> DataFrame | None:
+def _with_cells(
+    scored: DataFrame, candidates: DataFrame, lake: Lake, clean: Lake | None
+) -> DataFrame:
+    """Add the suspect row's `cells` and `clean_cells`; NULL without a clean row."""
+    found = scored.withColumnRenamed("suspect_row", "row_idx").join(
+        lookup_rows(lake, candidates), ROW_KEY, "left"
+    )
     if clean is None:
-        return None
-    return lookup_rows(clean, wanted).withColumnRenamed("cells", "clean_cells")
+        return found.withColumn("clean_cells", F.lit(None).cast("array<string>"))
+    truth = lookup_rows(clean, candidates).withColumnRenamed("cells", "clean_cells")
+    return found.join(truth, ROW_KEY, "left")
+
+
+def _pick(cells: str, idx: str) -> Column:
+    return F.get(cells, F.col(idx))
+
+
+def _error(*columns: str) -> Column:
+    """Whether any of the cells differs from the clean one; NULL without a clean row."""
+    changed = [differs(_pick("cells", c), _pick("clean_cells", c)) for c in columns]
+    return F.when(F.col("clean_cells").isNotNull(), reduce(lambda a, b: a | b, changed))
 
 
 def cell_findings(
     scored: DataFrame,
+    candidates: DataFrame,
     error_type: str,
     lake: Lake,
     clean: Lake | None = None,
@@ -124,59 +139,30 @@ def cell_findings(
 
     Without a clean lake both are NULL.
     """
-    found = stage(
-        lake.with_columns(
-            scored.select(*COLUMN_KEY, F.col("suspect_row").alias("row_idx"), "LR"), "col_name"
-        ),
-        f"{error_type}_found",
-    )
-    row_key = ["table_id", "row_idx"]
-    full = found.join(lookup_rows(lake, found), row_key, "left")
-    truth = _clean_rows(clean, found)
-    value = _cell(F.col("col_idx"))
-    if truth is None:
-        correct, error = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    else:
-        full = full.join(truth.withColumn("_clean", F.lit(True)), row_key, "left")
-        correct = F.get("clean_cells", F.col("col_idx"))
-        error = F.when(F.col("_clean"), differs(value, correct))
-    return full.select(
+    named = lake.with_columns(scored.select(*COLUMN_KEY, "suspect_row", "LR"), "col_name")
+    return _with_cells(named, candidates, lake, clean).select(
         F.lit(error_type).alias("error_type"),
         F.col("table_id").alias("path"),
         "col_name",
         "row_idx",
         "col_idx",
         "LR",
-        value.alias("value"),
-        correct.alias(truth_name),
-        error.alias("error"),
+        _pick("cells", "col_idx").alias("value"),
+        _pick("clean_cells", "col_idx").alias(truth_name),
+        _error("col_idx").alias("error"),
     )
 
 
-def pair_findings(scored: DataFrame, lake: Lake, clean: Lake | None = None) -> DataFrame:
+def pair_findings(
+    scored: DataFrame, candidates: DataFrame, lake: Lake, clean: Lake | None = None
+) -> DataFrame:
     """Findings of the dependency detector."""
-    named = scored.select(*PAIR_KEY, F.col("suspect_row").alias("row_idx"), "LR")
+    named = scored.select(*PAIR_KEY, "suspect_row", "LR")
     for side in ("1", "2"):
-        named = (
-            lake.with_columns(named.withColumnRenamed(f"col_{side}_idx", "col_idx"), "col_name")
-            .withColumnsRenamed({"col_idx": f"col_{side}_idx", "col_name": f"col_{side}_name"})
-        )
-    found = stage(named, "fd_found")
-    row_key = ["table_id", "row_idx"]
-    full = found.join(lookup_rows(lake, found), row_key, "left")
-    truth = _clean_rows(clean, found)
-    ones = [F.col("col_1_idx"), F.col("col_2_idx")]
-    values = [_cell(c) for c in ones]
-    if truth is None:
-        correct = [F.lit(None).cast("string")] * 2
-        error = F.lit(None).cast("boolean")
-    else:
-        full = full.join(truth.withColumn("_clean", F.lit(True)), row_key, "left")
-        correct = [F.get("clean_cells", c) for c in ones]
-        error = F.when(
-            F.col("_clean"), differs(values[0], correct[0]) | differs(values[1], correct[1])
-        )
-    return full.select(
+        named = lake.with_columns(
+            named.withColumnRenamed(f"col_{side}_idx", "col_idx"), "col_name"
+        ).withColumnsRenamed({"col_idx": f"col_{side}_idx", "col_name": f"col_{side}_name"})
+    return _with_cells(named, candidates, lake, clean).select(
         F.lit("fd").alias("error_type"),
         F.col("table_id").alias("path"),
         "col_1_name",
@@ -185,28 +171,42 @@ def pair_findings(scored: DataFrame, lake: Lake, clean: Lake | None = None) -> D
         "col_1_idx",
         "col_2_idx",
         "LR",
-        values[0].alias("value_1"),
-        values[1].alias("value_2"),
-        correct[0].alias("correct_value_1"),
-        correct[1].alias("correct_value_2"),
-        error.alias("error"),
+        _pick("cells", "col_1_idx").alias("value_1"),
+        _pick("cells", "col_2_idx").alias("value_2"),
+        _pick("clean_cells", "col_1_idx").alias("correct_value_1"),
+        _pick("clean_cells", "col_2_idx").alias("correct_value_2"),
+        _error("col_1_idx", "col_2_idx").alias("error"),
     )
 
 
-def detect_uv(measures, model, lake: Lake, clean: Lake | None = None) -> DataFrame:
-    return cell_findings(score_uv(measures, model), "uniqueness", lake, clean)
+def detect_uv(
+    measures: DataFrame, model: DataFrame, lake: Lake, clean: Lake | None = None
+) -> DataFrame:
+    candidates = stage(gate(measures, UV_SCORES), "uv_candidates")
+    return cell_findings(score_uv(candidates, model), candidates, "uniqueness", lake, clean)
 
 
-def detect_fd(measures, model, lake: Lake, clean: Lake | None = None) -> DataFrame:
-    return pair_findings(score_fd(measures, model), lake, clean)
+def detect_fd(
+    measures: DataFrame, model: DataFrame, lake: Lake, clean: Lake | None = None
+) -> DataFrame:
+    candidates = stage(gate(measures, FD_SCORES), "fd_candidates")
+    return pair_findings(score_fd(candidates, model), candidates, lake, clean)
 
 
-def detect_no(measures, model, lake: Lake, clean: Lake | None = None) -> DataFrame:
-    return cell_findings(score_no(measures, model), "no", lake, clean)
+def detect_no(
+    measures: DataFrame, model: DataFrame, lake: Lake, clean: Lake | None = None
+) -> DataFrame:
+    candidates = stage(gate(measures, NO_SCORES), "no_candidates")
+    return cell_findings(score_no(candidates, model), candidates, "no", lake, clean)
 
 
-def detect_se(measures, model, lake: Lake, clean: Lake | None = None) -> DataFrame:
-    return cell_findings(score_se(measures, model), "spelling", lake, clean, "ground_truth")
+def detect_se(
+    measures: DataFrame, model: DataFrame, lake: Lake, clean: Lake | None = None
+) -> DataFrame:
+    candidates = stage(gate(measures, SE_SCORES), "se_candidates")
+    return cell_findings(
+        score_se(candidates, model), candidates, "spelling", lake, clean, "ground_truth"
+    )
 
 
 def detect_se_labelled(
@@ -216,35 +216,31 @@ def detect_se_labelled(
 
     The label column itself is not searched. Labels 2 and 1 give error 1 and 0, any other -1.
     """
-    text_columns = lake.with_columns(
+    texts = lake.with_columns(
         measures.filter(~F.col("base_type").isin("int64", "float64")), "col_name"
     ).filter(F.col("col_name") != label_column)
-    scored = score_se(text_columns.drop("col_name"), model)
-    found = stage(
-        lake.with_columns(
-            scored.select(*COLUMN_KEY, F.col("suspect_row").alias("row_idx"), "LR"), "col_name"
-        ),
-        "labelled_found",
+    candidates = stage(gate(texts, SE_SCORES), "se_candidates")
+    scored = score_se(candidates, model)
+    found = _with_cells(
+        scored.select(*COLUMN_KEY, "col_name", "suspect_row", "LR"), candidates, lake, None
     )
     label_at = lake.columns.filter(F.col("col_name") == label_column).withColumnRenamed(
         "col_idx", "label_idx"
     )
-    row_key = ["table_id", "row_idx"]
-    full = found.join(lookup_rows(lake, found), row_key, "left")
     if lake.uniform:
         at = label_at.first()
-        full = full.withColumn("label_idx", F.lit(at and at["label_idx"]).cast("int"))
+        found = found.withColumn("label_idx", F.lit(at and at["label_idx"]).cast("int"))
     else:
-        full = full.join(label_at.select("table_id", "label_idx"), "table_id", "left")
-    label = F.get("cells", F.col("label_idx")).try_cast("double").cast("int")
-    return full.select(
+        found = found.join(label_at.select("table_id", "label_idx"), "table_id", "left")
+    label = _pick("cells", "label_idx").try_cast("double").cast("int")
+    return found.select(
         F.lit("spelling").alias("error_type"),
         F.col("table_id").alias("path"),
         "col_name",
         "row_idx",
         "col_idx",
         "LR",
-        _cell(F.col("col_idx")).alias("value"),
+        _pick("cells", "col_idx").alias("value"),
         label.alias("Label"),
         label_error(F.coalesce(label, F.lit(0))).alias("error"),
     )

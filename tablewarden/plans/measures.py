@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablewarden.operators.dependency import dependency_measures
@@ -27,6 +27,7 @@ from tablewarden.operators.values import value_dictionary
 from tablewarden.session import stage
 from tablewarden.sources.lake import Lake
 
+# The budget of the outlier and spelling learners of the published method.
 CELL_LIMIT = 100_000
 
 
@@ -60,7 +61,7 @@ class Measured:
 
     @cached_property
     def table_tokens(self) -> DataFrame:
-        return table_tokens(_affordable(self.values, self.profile, TOKEN_CELL_LIMIT))
+        return table_tokens(self.within(TOKEN_CELL_LIMIT))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -71,8 +72,32 @@ class Measured:
             self.profile.join(prevalence.select(*COLUMN_KEY, "avg_col_pre"), COLUMN_KEY), "features"
         )
 
-    def _largest(self, column: str) -> int:
-        return self.profile.agg(F.max(column)).first()[0] or 0
+    @cached_property
+    def sizes(self) -> Row:
+        """Largest n_rows, n_distinct and n_texts of a column and n_cells of a table, in one pass."""
+        tables = self.profile.groupBy("table_id").agg(
+            F.max("n_rows").alias("n_rows"),
+            F.max("n_distinct").alias("n_distinct"),
+            F.max("n_texts").alias("n_texts"),
+            (F.max("n_rows") * F.count(F.lit(1))).alias("n_cells"),
+        )
+        sizes = ("n_rows", "n_distinct", "n_texts", "n_cells")
+        return tables.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in sizes]).first()
+
+    def within(self, n_cells_limit: int | None) -> DataFrame:
+        """Values of the tables below a cell budget."""
+        if n_cells_limit is None or self.sizes.n_cells < n_cells_limit:
+            return self.values
+        over = self.catalog.filter(F.col("n_cells") >= n_cells_limit)
+        return attach(
+            self.values,
+            over.select("table_id", "n_rows"),
+            ["table_id"],
+            F.col("first_row"),
+            "n_rows",
+            self.sizes.n_cells,
+            how="left_anti",
+        )
 
     def uv(self) -> DataFrame:
         """Uniqueness of every column: features, ur, ur_p and suspect_row."""
@@ -89,39 +114,22 @@ class Measured:
 
     def fd(self) -> DataFrame:
         """Compliance of every column pair: features, fd, fd_p and suspect_row."""
-        measures = dependency_measures(self.lake, self.features, self._largest("n_rows"))
+        measures = dependency_measures(self.lake, self.features, self.sizes.n_rows)
         return measures.withColumns(
             {"left_ness_1": F.col("col_1_idx"), "left_ness_2": F.col("col_2_idx")}
         )
 
     def no(self) -> DataFrame:
         """Outlier scores of every numeric column that has one."""
-        values = _affordable(self.values, self.profile, self.n_cells_limit)
-        return outlier_measures(self.lake, values, self.profile, self._largest("n_distinct"))
+        values = self.within(self.n_cells_limit)
+        return outlier_measures(self.lake, values, self.profile, self.sizes.n_distinct)
 
     def se(self) -> DataFrame:
         """Smallest edit distances of every column that has one."""
         return spelling_measures(
-            _affordable(self.values, self.profile, self.n_cells_limit),
+            self.within(self.n_cells_limit),
             self.profile,
+            self.sizes.n_texts,
             self.double_bucket,
         )
 
-
-def _affordable(values: DataFrame, profiled: DataFrame, n_cells_limit: int | None) -> DataFrame:
-    """Values of the tables below a cell budget."""
-    if n_cells_limit is None:
-        return values
-    over = table_catalog(profiled).filter(F.col("n_cells") >= n_cells_limit)
-    largest = over.agg(F.max("n_cells")).first()[0]
-    if largest is None:
-        return values
-    return attach(
-        values,
-        over.select("table_id", "n_rows"),
-        ["table_id"],
-        F.col("first_row"),
-        "n_rows",
-        largest,
-        how="left_anti",
-    )

@@ -64,6 +64,7 @@ WHOLE = {
         ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
     ),
 }
+DIMENSIONS = ("region", "nation", "supplier", "customer", "part")
 SQL_LAKES = {
     "orders": sql.ORDERS,
     "lineitem": sql.LINEITEM,
@@ -71,6 +72,7 @@ SQL_LAKES = {
     "conversations": sql.CONVERSATIONS,
     "documents": sql.DOCUMENTS,
     "whole": sql.WHOLE,
+    "dimensions": sql.SqlLake(sql.WHOLE.tables[: len(DIMENSIONS)]),
 }
 
 
@@ -79,10 +81,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def lake(spark: SparkSession, sf_dir: str, name: str) -> Lake:
-    if name == "whole":
-        return lake_from_tables(
-            {t: (read(spark, sf_dir, t), *rest) for t, rest in WHOLE.items()}
-        )
+    if name in ("whole", "dimensions"):
+        tables = WHOLE if name == "whole" else {t: WHOLE[t] for t in DIMENSIONS}
+        return lake_from_tables({t: (read(spark, sf_dir, t), *rest) for t, rest in tables.items()})
     return lake_from_table(read(spark, sf_dir, name), *CUTS[name])
 
 
@@ -153,8 +154,10 @@ def measures_query(kind: str, lake_name: str) -> tuple[Query, str]:
 
 
 def _split_measures(measured: Measured, kind: str) -> tuple[DataFrame, DataFrame]:
-    measures = stage(getattr(measured, kind)(), f"{kind}_measures")
-    split = stage(split_tables(measured.catalog, TRAIN_SHARE), "split")
+    measures = getattr(measured, kind)()
+    if kind != "uv":  # a projection of a stage table
+        measures = stage(measures, f"{kind}_measures")
+    split = split_tables(measured.catalog, TRAIN_SHARE)
     return part_of(measures, split, "train"), part_of(measures, split, "test")
 
 
@@ -278,7 +281,7 @@ def split_query(lake_name: str) -> tuple[Query, str]:
 def pairs_query(lake_name: str) -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         measured = Measured(lake(spark, sf_dir, lake_name))
-        pairs = spelling_pairs(measured.values, measured.profile)
+        pairs = spelling_pairs(measured.values, measured.profile, measured.sizes.n_texts)
         return pairs.select(
             "table_id",
             "col_idx",
@@ -433,6 +436,9 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         found[f"{kind}_model"] = model_query(kind, "orders")
         found[f"{kind}_findings"] = findings_query(kind, "orders")
         found[f"{kind}_measures_whole"] = measures_query(kind, "whole")
+    # All pairs of distinct prices are too many for SQL; tests compare with brute force instead.
+    found["se_measures_whole"] = (found["se_measures_whole"][0], None)
+    found["se_measures_dimensions"] = measures_query("se", "dimensions")
     found["uv_measures_events"] = measures_query("uv", "events")
     found["uv_findings_events"] = findings_query("uv", "events")
     found["fd_measures_lineitem"] = measures_query("fd", "lineitem")

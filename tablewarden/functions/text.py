@@ -39,6 +39,15 @@ def float_text(x: Column, type_name: str = "double") -> Column:
     """Shortest decimal form, `10000000.0` rather than `1.0E7`; zero has no sign, NaN is missing."""
     value = x.cast(type_name)
     raw = value.cast("string")
+    # Before version 19 Java may print one digit too many: try 16 digits where it prints 17.
+    shorter = F.format_string("%.15e", value.cast("double"))
+    digits = F.rtrim(F.substring_index(shorter, "e", 1), F.lit("0"))
+    power = F.substring_index(shorter, "e", -1).try_cast("int").cast("string")
+    raw = F.when(
+        (F.length(F.regexp_replace(F.substring_index(raw, "E", 1), "[^0-9]", "")) >= 17)
+        & (shorter.try_cast("double") == value),
+        F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""), F.lit("E"), power),
+    ).otherwise(raw)
     plain = F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")

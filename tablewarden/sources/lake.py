@@ -56,7 +56,7 @@ def column_frame(spark: SparkSession, columns: list[tuple[str, str]]) -> DataFra
     return spark.range(1).select(F.inline(F.array(*entries)))
 
 
-def _typed(df: DataFrame, names: list[str]) -> tuple[list[tuple[str, str]], Column]:
+def typed_cells(df: DataFrame, names: list[str]) -> tuple[list[tuple[str, str]], Column]:
     fields = {f.name: f.dataType for f in df.schema.fields}
     kinds = [(n, base_type(fields[n])) for n in names]
     return kinds, F.array(*[cell_text(F.col(n), fields[n]) for n in names])
@@ -66,7 +66,7 @@ def lake_from_table(
     df: DataFrame, table_key: str, order_by: list[str], columns: list[str]
 ) -> Lake:
     """Cut one DataFrame into a table per value of `table_key`, rows ordered by `order_by`."""
-    kinds, cells = _typed(df, columns)
+    kinds, cells = typed_cells(df, columns)
     key_type = df.schema[table_key].dataType
     keyed = df.select(
         cell_text(F.col(table_key), key_type).alias("table_id"),
@@ -87,7 +87,7 @@ def lake_from_tables(
     """A lake of whole DataFrames: name -> (data, order columns, value columns)."""
     lakes = []
     for name, (df, order_by, columns) in tables.items():
-        kinds, cells = _typed(df, columns)
+        kinds, cells = typed_cells(df, columns)
         keyed = df.select(F.lit(name).alias("table_id"), *order_by, cells.alias("cells"))
         numbered = number_rows(
             keyed, ["table_id"], [F.col(c) for c in order_by], largest=df.count()

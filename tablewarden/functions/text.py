@@ -14,7 +14,10 @@ NUMERIC_TEXT_PATTERN = r"^\p{N}+\z"
 INTEGER_PATTERN = r"^[+-]?[0-9]+\z"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^[+-]?(inf|Infinity)\z"
 BOOLEAN_PATTERN = r"^(True|False|TRUE|FALSE|true|false)\z"
-WHITESPACE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
+# All Unicode whitespace, and the four information separators.
+WHITESPACE_CLASS = (
+    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 
 
 def is_alnum(text: Column) -> Column:
@@ -27,7 +30,9 @@ def is_numeric_text(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Pieces between runs of Unicode whitespace, without empty ones."""
-    return F.filter(F.split(text, WHITESPACE_PATTERN), lambda t: t != "")
+    pieces = F.filter(F.split(text, WHITESPACE_CLASS + "+"), lambda t: t != "")
+    # Most cells are one word.
+    return F.when(text.rlike(WHITESPACE_CLASS) | (text == ""), pieces).otherwise(F.array(text))
 
 
 def number(text: Column) -> Column:
@@ -38,36 +43,39 @@ def number(text: Column) -> Column:
 def float_text(x: Column, type_name: str = "double") -> Column:
     """Shortest decimal form, `10000000.0` rather than `1.0E7`; zero has no sign, NaN is missing."""
     value = x.cast(type_name)
-    raw = value.cast("string")
-    # Before version 19 Java may print one digit too many: try 16 digits where it prints 17.
+    printed = value.cast("string")
+    size = F.abs(value.cast("double"))
+    # Almost all numbers are printed in final form. The test of the length is for versions of Java
+    # before 19, which may print 17 digits where 16 identify the number.
+    return (
+        F.when(value.isNull() | F.isnan(value), F.lit(None).cast("string"))
+        .when(value == 0, "0.0")
+        .when(~printed.contains("E") & (F.length(printed) < 18), printed)
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .otherwise(_rewritten(value, printed, size))
+    )
+
+
+def _rewritten(value: Column, printed: Column, size: Column) -> Column:
     shorter = F.format_string("%.15e", value.cast("double"))
     digits = F.rtrim(F.substring_index(shorter, "e", 1), F.lit("0"))
     power = F.substring_index(shorter, "e", -1).try_cast("int").cast("string")
-    raw = F.when(
-        (F.length(F.regexp_replace(F.substring_index(raw, "E", 1), "[^0-9]", "")) >= 17)
+    printed = F.when(
+        (F.length(F.regexp_replace(F.substring_index(printed, "E", 1), "[^0-9]", "")) >= 17)
         & (shorter.try_cast("double") == value),
         F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""), F.lit("E"), power),
-    ).otherwise(raw)
-    plain = F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    ).otherwise(printed)
+    plain = F.rtrim(printed.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(raw, "E", -1).try_cast("int")
-    power = F.concat(
-        F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    )
-    # Exponents have at most three digits, lpad must not cut the third.
-    power = F.when(
-        F.abs(exponent) >= 100,
-        F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string")),
-    ).otherwise(power)
-    size = F.abs(value.cast("double"))
+    mantissa = F.regexp_replace(F.substring_index(printed, "E", 1), r"\.0$", "")
+    exponent = F.substring_index(printed, "E", -1).try_cast("int")
+    figures = F.abs(exponent).cast("string")
+    padded = F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), figures)).otherwise(figures)
+    sign = F.when(exponent < 0, "e-").otherwise("e+")
     return (
-        F.when(value.isNull() | F.isnan(value), F.lit(None).cast("string"))
-        .when(value == 0, "0.0")
-        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when(~raw.contains("E"), raw)
+        F.when(~printed.contains("E"), printed)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, power))
+        .otherwise(F.concat(mantissa, sign, padded))
     )
 
 

@@ -7,7 +7,7 @@ contradicts the first row of its determinant value. Missing dependents equal not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.operators.joins import attach
@@ -68,16 +68,9 @@ def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
     )
     rows = attach(lake.rows, wanted, ["table_id"], F.col("row_idx"), "n_rows", largest)
 
-    def pair_cells(pair: Column) -> Column:
-        return F.struct(
-            pair["col_1_idx"].alias("col_1_idx"),
-            pair["col_2_idx"].alias("col_2_idx"),
-            F.get("cells", pair["col_1_idx"]).alias("a"),
-            F.get("cells", pair["col_2_idx"]).alias("b"),
-        )
-
     cells = (
-        rows.select("table_id", "row_idx", F.inline(F.transform("open_pairs", pair_cells)))
+        rows.select("table_id", "row_idx", "cells", F.inline("open_pairs"))
+        .select(*PAIR_KEY, "row_idx", *[F.get("cells", F.col(c)).alias(n) for c, n in zip(PAIR_KEY[1:], "ab")])
         .filter(F.col("a").isNotNull())
         .withColumn("b", F.coalesce("b", F.concat(F.char(F.lit(0)), F.col("row_idx").cast("string"))))
     )

@@ -34,7 +34,9 @@ LONG_TEXT = 64
 
 def _short_columns(values: DataFrame) -> DataFrame:
     """Closest pair and distances without i and without j, computed inside one row per column."""
-    gathered = values.groupBy(*COLUMN_KEY).agg(
+    # Comparing is heavy for few bytes, so the partitions must not be merged by their size.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = values.repartition(tasks, *COLUMN_KEY).groupBy(*COLUMN_KEY).agg(
         F.sort_array(F.collect_list(F.struct(F.col("first_row").alias("r"), "text", "n"))).alias("v")
     )
 

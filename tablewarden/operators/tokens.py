@@ -21,8 +21,17 @@ def table_tokens(values: DataFrame) -> DataFrame:
     )
 
 
-def lake_tokens(per_table: DataFrame) -> DataFrame:
-    """(token, cnt): occurrences in the whole lake."""
+def lake_tokens(values: DataFrame) -> DataFrame:
+    """(token, cnt): occurrences in the whole lake, without counts per table on the way."""
+    return (
+        values.select("n", F.explode(tokens(F.col("text"))).alias("token"))
+        .groupBy("token")
+        .agg(F.sum("n").alias("cnt"))
+    )
+
+
+def merged_tokens(per_table: DataFrame) -> DataFrame:
+    """(token, cnt): the sum of counts per table, such as ones written earlier."""
     return per_table.groupBy("token").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -38,7 +47,7 @@ def lake_token_means(per_table: DataFrame, n_tables: int | None = None) -> DataF
     """(token, cnt): occurrences divided by the number of tables."""
     if n_tables is None:
         n_tables = token_stats(per_table).first()["n_tables"]
-    return lake_tokens(per_table).select(
+    return merged_tokens(per_table).select(
         "token", (F.col("cnt").cast("double") / F.lit(n_tables)).alias("cnt")
     )
 

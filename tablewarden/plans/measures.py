@@ -66,7 +66,9 @@ class Measured:
     @cached_property
     def features(self) -> DataFrame:
         """The profile with avg_col_pre."""
-        counts = lake_tokens(self.table_tokens) if self.tokens is None else self.tokens
+        counts = self.tokens
+        if counts is None:
+            counts = lake_tokens(self.within(TOKEN_CELL_LIMIT))
         prevalence = column_prevalence(self.values, counts, self.prevalence_mode)
         return stage(
             self.profile.join(prevalence.select(*COLUMN_KEY, "avg_col_pre"), COLUMN_KEY), "features"

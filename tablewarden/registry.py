@@ -15,6 +15,7 @@ from tablewarden.operators.tokens import (
     column_prevalence,
     lake_token_means,
     lake_tokens,
+    merged_tokens,
     table_tokens,
     token_stats,
 )
@@ -234,7 +235,7 @@ def token_query(lake_name: str, compute: Callable[[DataFrame], DataFrame], final
 def prevalence_query(lake_name: str) -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         values = stage(value_dictionary(lake(spark, sf_dir, lake_name)), "values")
-        return column_prevalence(values, lake_tokens(table_tokens(values)))
+        return column_prevalence(values, lake_tokens(values))
 
     text = sql.query(
         [*SQL_LAKES[lake_name].ctes(), sql.TEXTS, *sql.PREVALENCE[:-1]], "SELECT * FROM prevalence"
@@ -414,7 +415,7 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         "column_profile_whole": profile_query("whole"),
         "table_tokens": token_query("orders", lambda t: t, "SELECT * FROM table_tokens"),
         "table_tokens_documents": token_query("documents", lambda t: t, "SELECT * FROM table_tokens"),
-        "lake_tokens": token_query("documents", lake_tokens, "SELECT * FROM lake_tokens"),
+        "lake_tokens": token_query("documents", merged_tokens, "SELECT * FROM lake_tokens"),
         "lake_tokens_mean": token_query(
             "documents",
             lambda t: lake_token_means(t).select("token", F.round("cnt", 6).alias("cnt")),

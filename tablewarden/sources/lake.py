@@ -71,13 +71,15 @@ def lake_from_table(
     keyed = df.select(
         cell_text(F.col(table_key), key_type).alias("table_id"),
         *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)],
-        cells.alias("cells"),
+        *columns,
     )
     numbered = number_rows(
         keyed, ["table_id"], [F.col(f"_order_{i}") for i in range(len(order_by))]
     )
+    # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
     return Lake(
-        numbered.select("table_id", "row_idx", "cells"), column_frame(df.sparkSession, kinds)
+        numbered.select("table_id", "row_idx", cells.alias("cells")),
+        column_frame(df.sparkSession, kinds),
     )
 
 
@@ -88,12 +90,12 @@ def lake_from_tables(
     lakes = []
     for name, (df, order_by, columns) in tables.items():
         kinds, cells = typed_cells(df, columns)
-        keyed = df.select(F.lit(name).alias("table_id"), *order_by, cells.alias("cells"))
         numbered = number_rows(
-            keyed, ["table_id"], [F.col(c) for c in order_by], largest=df.count()
+            df.select(*{*order_by, *columns}), [], [F.col(c) for c in order_by], largest=df.count()
         )
-        meta = column_frame(df.sparkSession, kinds).select(F.lit(name).alias("table_id"), "*")
-        lakes.append(Lake(numbered.select("table_id", "row_idx", "cells"), meta))
+        named = F.lit(name).alias("table_id")
+        meta = column_frame(df.sparkSession, kinds).select(named, "*")
+        lakes.append(Lake(numbered.select(named, "row_idx", cells.alias("cells")), meta))
     return union_lakes(*lakes)
 
 

@@ -102,7 +102,7 @@ def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
 def dependency_measures(lake: Lake, features: DataFrame, largest: int) -> DataFrame:
     """One row per column pair: features of both, fd, fd_p and suspect_row.
 
-    `largest` is the number of rows of the largest table. Where every determinant value is violated
+    `largest` is the largest number of pair cells (rows times column pairs) of a table. Where every determinant value is violated
     both ratios are -1 and there is no suspect.
     """
     pairs = column_pairs(features)

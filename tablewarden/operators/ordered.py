@@ -50,13 +50,16 @@ def running_sums(
     earlier = (
         Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    # Written down as well: left as a window it would be partitioned by the keys alone, and the join
+    # could follow that and gather a hot key again.
+    offsets = stage(
         parts.groupBy(*part_keys)
         .agg(*[F.sum(c).alias(f"_all_{s}") for s, c in sums.items()])
         .select(
             *part_keys,
             *[F.coalesce(F.sum(f"_all_{s}").over(earlier), F.lit(0)).alias(f"_before_{s}") for s in sums],
-        )
+        ),
+        "offsets",
     )
     return local.join(offsets, part_keys).select(
         *df.columns, *[(F.col(f"_in_{s}") + F.col(f"_before_{s}")).alias(s) for s in sums]

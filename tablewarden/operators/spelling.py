@@ -297,7 +297,16 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
     settled = first.select(
         *COLUMN_KEY, F.lit(1).cast("long").alias("d"), F.col("p.i").alias("i"), F.col("p.j").alias("j")
     )
-    apart = values.join(settled, COLUMN_KEY, "left_anti")
+    extents = values.groupBy(*COLUMN_KEY).agg((F.max("first_row") + 1).alias("_extent"))
+    apart = attach(
+        values,
+        settled.select(*COLUMN_KEY).join(extents, COLUMN_KEY),
+        COLUMN_KEY,
+        F.col("first_row"),
+        "_extent",
+        largest,
+        how="left_anti",
+    )
     if apart.isEmpty():
         closest = stage(settled, "closest")
     else:
@@ -315,8 +324,8 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
 
     known = closest.join(end("i"), [*COLUMN_KEY, "i"]).join(end("j"), [*COLUMN_KEY, "j"])
     # A pair at distance 1 that does not touch the dropped row settles the second distance.
-    extents = closest.select(*COLUMN_KEY, F.col("i").alias("bi"), F.col("j").alias("bj"))
-    sized = extents.join(
+    ends = closest.select(*COLUMN_KEY, F.col("i").alias("bi"), F.col("j").alias("bj"))
+    sized = ends.join(
         adjacent.groupBy(*COLUMN_KEY).agg((F.max("i") + 1).alias("_extent")), COLUMN_KEY
     )
     others = (
@@ -361,7 +370,6 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
     ).select(*COLUMN_KEY, "e.end", "e.dropped")
     if open_ends.isEmpty():
         return partial
-    extents = values.groupBy(*COLUMN_KEY).agg((F.max("first_row") + 1).alias("_extent"))
     left = attach(
         values, open_ends.join(extents, COLUMN_KEY), COLUMN_KEY, F.col("first_row"), "_extent", largest
     ).filter(F.col("first_row") != F.col("dropped"))

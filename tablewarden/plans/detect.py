@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.scores import better_ratio, differs, label_error, likelihood_ratio
 from tablewarden.operators.dependency import PAIR_KEY
+from tablewarden.operators.joins import BROADCAST_ROWS
 from tablewarden.operators.profile import COLUMN_KEY
 from tablewarden.plans.learn import (
     FD_FEATURES,
@@ -37,6 +38,11 @@ def gate(measures: DataFrame, scores: tuple[str, str]) -> DataFrame:
 
 
 def _scored(candidates: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """Candidates with their counts. Many candidates may share one row of counts, so these are a
+    stage table: broadcast if few, else shuffled by all of `on`, where hot keys can be split."""
+    counts = stage(counts, "counts")
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
     return candidates.join(counts, on, "left").withColumns(
         {
             "p_dt": F.coalesce("p_dt", F.lit(0).cast("long")),

@@ -76,14 +76,16 @@ class Measured:
 
     @cached_property
     def sizes(self) -> Row:
-        """Largest n_rows, n_distinct and n_texts of a column and n_cells of a table, in one pass."""
+        """Largest n_rows, n_distinct and n_texts of a column, and n_cells and n_pairs (cells of all
+        its column pairs) of a table, in one pass."""
         tables = self.profile.groupBy("table_id").agg(
             F.max("n_rows").alias("n_rows"),
             F.max("n_distinct").alias("n_distinct"),
             F.max("n_texts").alias("n_texts"),
             (F.max("n_rows") * F.count(F.lit(1))).alias("n_cells"),
+            F.floor(F.max("n_rows") * F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n_pairs"),
         )
-        sizes = ("n_rows", "n_distinct", "n_texts", "n_cells")
+        sizes = ("n_rows", "n_distinct", "n_texts", "n_cells", "n_pairs")
         return tables.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in sizes]).first()
 
     def within(self, n_cells_limit: int | None) -> DataFrame:
@@ -116,7 +118,7 @@ class Measured:
 
     def fd(self) -> DataFrame:
         """Compliance of every column pair: features, fd, fd_p and suspect_row."""
-        measures = dependency_measures(self.lake, self.features, self.sizes.n_rows)
+        measures = dependency_measures(self.lake, self.features, self.sizes.n_pairs)
         return measures.withColumns(
             {"left_ness_1": F.col("col_1_idx"), "left_ness_2": F.col("col_2_idx")}
         )

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.operators.joins import with_group_totals
-from tablewarden.operators.ordered import running_sums
+from tablewarden.operators.joins import BROADCAST_ROWS, with_group_totals
+from tablewarden.operators.ordered import GROUP_LIMIT, running_sums
 
 POINT, PREFIX, WHOLE = 0, 1, 2
 
@@ -42,9 +42,13 @@ def likelihood_counts(
     queries = candidates.groupBy(
         *features, coordinate(thetas[0]).alias("a"), coordinate(thetas[1]).alias("b")
     ).agg(F.lit(1).alias("_one")).drop("_one")
+    # Only as a counted broadcast: a shuffle by the features would gather a hot group for the
+    # aggregation behind it.
+    seen = candidates.select(*features).distinct()
+    if seen.count() <= BROADCAST_ROWS:
+        model = model.join(F.broadcast(seen), features, "left_semi")
     points = (
-        model.join(candidates.select(*features).distinct(), features, "left_semi")
-        .groupBy(*features, coordinate(m1).alias("a"), coordinate(m2).alias("b"))
+        model.groupBy(*features, coordinate(m1).alias("a"), coordinate(m2).alias("b"))
         .agg(F.sum("w").alias("w"))
     )
     zero = F.lit(0).cast("long")
@@ -64,6 +68,8 @@ def likelihood_counts(
     sizes = events.groupBy(*features).agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.agg(F.max("c")).first()[0] or 0
 
+    # Below, every row is repeated once per level inside its group.
+    limit = GROUP_LIMIT // 16 if limit is None else limit
     is_point = (F.col("kind") == POINT).cast("long")
     order = [F.col(c) for c in ("at", "kind", "a", "b")]
     placed = running_sums(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.text import base_type, cell_text
+from tablewarden.operators import ordered
 from tablewarden.operators.ordered import number_rows
 
 
@@ -73,8 +74,12 @@ def lake_from_table(
         *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)],
         *columns,
     )
+    # A plain window leaves a table in one task, so its limit is in cells.
     numbered = number_rows(
-        keyed, ["table_id"], [F.col(f"_order_{i}") for i in range(len(order_by))]
+        keyed,
+        ["table_id"],
+        [F.col(f"_order_{i}") for i in range(len(order_by))],
+        limit=ordered.GROUP_LIMIT // len(columns),
     )
     # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
     return Lake(

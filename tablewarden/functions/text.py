@@ -52,31 +52,39 @@ def float_text(x: Column, type_name: str = "double") -> Column:
         .when(value == 0, "0.0")
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
         .when(~printed.contains("E") & (F.length(printed) < 18), printed)
-        .otherwise(_rewritten(value, printed, size))
+        .otherwise(_rewritten(value))
     )
 
 
-def _rewritten(value: Column, printed: Column, size: Column) -> Column:
-    shorter = F.format_string("%.15e", value.cast("double"))
-    digits = F.rtrim(F.substring_index(shorter, "e", 1), F.lit("0"))
-    power = F.substring_index(shorter, "e", -1).try_cast("int").cast("string")
-    printed = F.when(
-        (F.length(F.regexp_replace(F.substring_index(printed, "E", 1), "[^0-9]", "")) >= 17)
-        & (shorter.try_cast("double") == value),
-        F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""), F.lit("E"), power),
-    ).otherwise(printed)
-    plain = F.rtrim(printed.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.substring_index(printed, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(printed, "E", -1).try_cast("int")
-    figures = F.abs(exponent).cast("string")
-    padded = F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), figures)).otherwise(figures)
-    sign = F.when(exponent < 0, "e-").otherwise("e+")
-    return (
-        F.when(~printed.contains("E"), printed)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, sign, padded))
-    )
+def _rewritten(value: Column) -> Column:
+    """The rare forms. Lambdas name what is used several times: written out, the generated code of
+    a few such columns would be too large to compile."""
+
+    def shortest(v: Column) -> Column:
+        shorter = F.format_string("%.15e", v.cast("double"))
+        digits = F.rtrim(F.substring_index(shorter, "e", 1), F.lit("0"))
+        power = F.substring_index(shorter, "e", -1).try_cast("int").cast("string")
+        figures = F.regexp_replace(F.substring_index(v.cast("string"), "E", 1), "[^0-9]", "")
+        return F.when(
+            (F.length(figures) >= 17) & (shorter.try_cast("double") == v),
+            F.concat(digits, F.when(digits.endswith("."), "0").otherwise(""), F.lit("E"), power),
+        ).otherwise(v.cast("string"))
+
+    def written(text: Column) -> Column:
+        exponent = F.substring_index(text, "E", -1).try_cast("int")
+        plain = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+        plain = F.regexp_replace(plain, r"\.$", ".0")
+        mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+        figures = F.abs(exponent).cast("string")
+        padded = F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), figures)).otherwise(figures)
+        sign = F.when(exponent < 0, "e-").otherwise("e+")
+        return (
+            F.when(~text.contains("E"), text)
+            .when((exponent >= -4) & (exponent < 16), plain)
+            .otherwise(F.concat(mantissa, sign, padded))
+        )
+
+    return F.get(F.transform(F.transform(F.array(value), shortest), written), F.lit(0))
 
 
 def cell_text(column: Column, data_type: T.DataType) -> Column:

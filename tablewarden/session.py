@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +24,23 @@ def local_session(cpus: str = "8", app: str = "tablewarden") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        made = tempfile.mkdtemp(prefix="tablewarden-package-")
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(
+                f"{made}/tablewarden", "zip", os.path.dirname(package), os.path.basename(package)
+            )
+        )
+        _shipped.add(app)
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder for stage tables: the one the cluster names in spark.checkpoint.dir.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,14 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch | pa.Array, texts: pa.Array, limit: int = 1 << 20):
+    """Slices of `batch` whose `texts` have about `limit` bytes in all: what a task holds as Python
+    objects at a time is bounded by that, or by one text."""
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), np.int64) + 16
+    for a, b in pieces(sizes.tolist(), int, limit):
+        yield batch.slice(a, b - a)
+
+
 def pieces(items: list, weight, limit: int):
     """Consecutive slices of `items` of about `limit` weight in all, and one item at least."""
     start, total = 0, 0

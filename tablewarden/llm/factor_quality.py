@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tablewarden.llm.common import as_bytes, held_out, pieces, sampled_labels, spans
+from tablewarden.llm.common import as_bytes, held_out, sampled_labels, slices, spans
 from tablewarden.llm.quality_trees import FEATURES, statistics
 from tablewarden.session import ship_package
 
@@ -125,7 +125,8 @@ _VECTOR = T.StructType(
 
 def _vectors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, sizes in batches:
-        found = [features(t, s) for t, s in zip(as_bytes(texts), sizes.to_pylist())]
+        told = iter(sizes.to_pylist())
+        found = [features(t, next(told)) for part in slices(texts, texts) for t in as_bytes(part)]
         yield pa.StructArray.from_arrays(
             [
                 pa.array([i for i, _ in found], pa.list_(pa.int32())),
@@ -174,10 +175,9 @@ def score_quality(docs: DataFrame, machine: FactorMachine, threshold: float = 0.
     @arrow_udf("double")
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, sizes in batches:
-            rows = [as_bytes(texts), sizes.to_pylist()]
-            out = [np.zeros(0)]
-            for a, b in pieces(rows[0], len, 1 << 20):
-                out.append(model.value.score([features(t, s) for t, s in zip(rows[0][a:b], rows[1][a:b])]))
+            out, told = [np.zeros(0)], iter(sizes.to_pylist())
+            for part in slices(texts, texts):
+                out.append(model.value.score([features(t, next(told)) for t in as_bytes(part)]))
             yield pa.array(np.concatenate(out))
 
     return docs.select(

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import pieces, spans
+from tablewarden.llm.common import pieces, slices, spans
 from tablewarden.llm.rolling import Rolling, mix
 from tablewarden.session import ship_package, stage
 
 PARTS = 4
+# Characters that a task hashes at once.
+HELD = 1 << 18
 # Rows up to which a stage table of known size is broadcast; they are of a few numbers each.
 BROADCAST_ROWS = 100_000
 
@@ -41,9 +43,9 @@ def _line_rows(edits: int, least_chars: int):
     """Per document row: its lines with words as (line, h1, h2, near_keys)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, b.column(2), HELD)):
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for low, high in pieces(texts, len, 1 << 20):
+            for low, high in pieces(texts, len, HELD):
                 codes, starts = _codes(texts[low:high])
                 if not len(codes):
                     continue
@@ -96,9 +98,9 @@ def _part_keys(hashes: Rolling, begins: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed keys of each line: whole, without each character, and the same with the gap's place."""
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, b.column(2), HELD // 4)):
         texts = batch.column(2).to_pylist()
-        for low, high in pieces(texts, len, 1 << 17):
+        for low, high in pieces(texts, len, HELD // 4):
             codes, starts = _codes(texts[low:high])
             one, two = Rolling(codes), Rolling(codes, 1)
             owner = np.repeat(np.arange(high - low), np.diff(starts))

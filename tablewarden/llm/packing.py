@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.bestfit import best_fit_decreasing, bin_bound
+from tablewarden.llm.common import slices
 from tablewarden.llm.tokens import encoder
 from tablewarden.session import ship_package, stage
 
@@ -39,7 +40,7 @@ def document_pieces(docs: DataFrame, capacity: int, tokenizer: str, ranks: str)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, b.column(1))):
             rows: list[list] = [[], [], [], [], []]
             for at, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + b"\0\0\0\0"

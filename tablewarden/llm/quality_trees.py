@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tablewarden.llm.common import SPACES, as_bytes, sampled_labels
+from tablewarden.llm.common import SPACES, as_bytes, sampled_labels, slices
 from tablewarden.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
@@ -96,7 +96,7 @@ _STATS = T.StructType(
 
 def _text_statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        found = [statistics(t) for t in as_bytes(texts)]
+        found = [statistics(t) for part in slices(texts, texts) for t in as_bytes(part)]
         counts = np.array([x for x, _ in found], np.int64).reshape(-1, len(COUNTS))
         features = pa.array([x for _, x in found], pa.list_(pa.float64()))
         yield pa.StructArray.from_arrays(

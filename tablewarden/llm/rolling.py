@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=8)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, at least `size`; the longest so far are kept."""
+    if which in _tables and len(_tables[which][0]) > size:
+        return _tables[which]
     base = _BASES[which]
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(size + 1, b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    _tables[which] = (out[0], out[1])
+    return _tables[which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.bestfit import best_fit_decreasing
+from tablewarden.llm.common import slices
 from tablewarden.llm.tokens import encoder
 from tablewarden.session import ship_package
 
@@ -89,7 +90,7 @@ def token_matrix(
             made, held, total = made + n, [], 0
             return batch
 
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, b.column(1))):
             kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(np.frombuffer(encode(text or ""), "<u4"), np.uint32(end_id))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -12,7 +13,7 @@ import numpy as np
 # Texts whose blanks do not all stand alone between other characters.
 _RUN = re.compile(r"\s\s|^\s|\s$")
 # Words whose ids a worker remembers at most; a fuller memory is emptied, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class _Known(dict):
@@ -29,6 +30,13 @@ class _Known(dict):
         return ids
 
 
+@lru_cache(maxsize=4)
+def _whole(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
 @lru_cache(maxsize=4)
 def encoder(tokenizer: str, ranks: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit numbers.
@@ -41,10 +49,9 @@ def encoder(tokenizer: str, ranks: str) -> Callable[[str], bytes]:
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(tokenizer, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
     plain = tiktoken.Encoding(
@@ -56,7 +63,7 @@ def encoder(tokenizer: str, ranks: str) -> Callable[[str], bytes]:
         if not text:
             return b""
         if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(_whole(tokenizer).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _RUN.search(text):
             return np.array(plain(text), "<u4").tobytes()
         words = text.replace("\n", " \n").split(" ")

@@ -9,8 +9,6 @@ from tablewarden.functions.buckets import prevalence_range
 from tablewarden.functions.text import tokens
 from tablewarden.operators.profile import COLUMN_KEY
 
-TOKEN_CELL_LIMIT = 1_000_000_000
-
 
 def table_tokens(values: DataFrame) -> DataFrame:
     """(table_id, token, cnt): occurrences per table, from distinct texts times their counts."""

@@ -17,19 +17,11 @@ from tablewarden.operators.joins import attach
 from tablewarden.operators.outlier import outlier_measures
 from tablewarden.operators.profile import COLUMN_KEY, profile, table_catalog
 from tablewarden.operators.spelling import spelling_measures
-from tablewarden.operators.tokens import (
-    TOKEN_CELL_LIMIT,
-    column_prevalence,
-    lake_tokens,
-    table_tokens,
-)
+from tablewarden.operators.tokens import column_prevalence, lake_tokens, table_tokens
 from tablewarden.operators.values import value_dictionary
 from tablewarden.session import stage
 from tablewarden.sources.lake import Lake
 
-# The budget of the outlier and spelling learners of the published method.
-CELL_LIMIT = 100_000
-
 
 @dataclass
 class Measured:
@@ -38,12 +30,14 @@ class Measured:
     tokens           token counts to look prevalences up in; the lake's own by default
     n_cells_limit    tables with at least this many cells are left out of the outlier and spelling
                      measures (None: no limit)
+    token_cells_limit  tables with at least this many cells are left out of the token counts (None: no limit)
     prevalence_mode  "sum" or "mean" over the rows of a column
     """
 
     lake: Lake
     tokens: DataFrame | None = None
     n_cells_limit: int | None = None
+    token_cells_limit: int | None = None
     prevalence_mode: str = "sum"
     double_bucket: bool = False
 
@@ -61,14 +55,14 @@ class Measured:
 
     @cached_property
     def table_tokens(self) -> DataFrame:
-        return table_tokens(self.within(TOKEN_CELL_LIMIT))
+        return table_tokens(self.within(self.token_cells_limit))
 
     @cached_property
     def features(self) -> DataFrame:
         """The profile with avg_col_pre."""
         counts = self.tokens
         if counts is None:
-            counts = lake_tokens(self.within(TOKEN_CELL_LIMIT))
+            counts = lake_tokens(self.within(self.token_cells_limit))
         prevalence = column_prevalence(self.values, counts, self.prevalence_mode)
         return stage(
             self.profile.join(prevalence.select(*COLUMN_KEY, "avg_col_pre"), COLUMN_KEY), "features"

@@ -1,26 +1,28 @@
 """Lakes of CSV and Parquet files.
 
-A lake is mostly millions of small files with a schema each, which no single reader schema fits.
-Small files are read as whole binaries and parsed one by one inside tasks; a file above the size
-limit is never handed to one task, but read in splits.
+A CSV file of any size is read in splits, by line; lines whose quotes are open at their end are put
+together with the next ones. Parquet files are mostly small, with a schema each, which no single
+reader schema fits: small ones are parsed one by one inside tasks, large ones read in splits.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.text import float_text, number
 from tablewarden.operators.joins import attach
-from tablewarden.operators.ordered import number_rows
+from tablewarden.operators.ordered import largest_group, number_rows, running_sums
 from tablewarden.operators.profile import profile, table_catalog
 from tablewarden.operators.values import value_dictionary
-from tablewarden.session import stage
+from tablewarden.session import ship_package, stage
 from tablewarden.sources.lake import Lake, column_frame, typed_cells, union_lakes
 
 SMALL_FILE_BYTES = 8 * 1024 * 1024
@@ -50,7 +52,7 @@ def list_tables(spark: SparkSession, root: str, file_type: str = "csv") -> DataF
 
     Contents are not read.
     """
-    return _binary(spark, root, file_type).select("path", "length")
+    return _binary(spark, root, file_type).select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def _binary(spark: SparkSession, root: str, file_type: str) -> DataFrame:
@@ -67,7 +69,7 @@ def first_tables(tables: DataFrame, n: int) -> DataFrame:
     return tables.orderBy("path").limit(n)
 
 
-# ---- small files ---------------------------------------------------------------------------------
+# ---- small Parquet files ---------------------------------------------------------------------------------
 
 
 def _kind_of(series: pd.Series) -> str:
@@ -87,16 +89,14 @@ def _texts(series: pd.Series) -> list[str | None]:
     return series.astype(str).astype(object).where(~missing, None).tolist()
 
 
-def _parse_files(file_type: str):
-    read = pd.read_parquet if file_type == "parquet" else pd.read_csv
-
+def _parse_files():
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         empty = {"row_idx": None, "cells": None, "col_idx": None, "col_name": None, "base_type": None, "error": None}
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 known = {**empty, "table_id": path}
                 try:
-                    table = read(io.BytesIO(content))
+                    table = pd.read_parquet(io.BytesIO(content))
                     columns = [
                         {**known, "kind": "column", "col_idx": i, "col_name": str(name), "base_type": _kind_of(table[name])}
                         for i, name in enumerate(table.columns)
@@ -117,11 +117,10 @@ def _parse_files(file_type: str):
     return parse
 
 
-def _scan_small(spark: SparkSession, root: str, file_type: str, limit: int) -> Scan:
-    files = _binary(spark, root, file_type).filter(F.col("length") <= limit)
-    parsed = stage(
-        files.select("path", "content").mapInPandas(_parse_files(file_type), PARSED_SCHEMA), "parsed"
-    )
+def _scan_small(spark: SparkSession, root: str, limit: int) -> Scan:
+    files = _binary(spark, root, "parquet").filter(F.col("length") <= limit)
+    files = files.select(F.col("_metadata.file_path").alias("path"), "content")
+    parsed = stage(files.mapInPandas(_parse_files(), PARSED_SCHEMA), "parsed")
     return Scan(
         Lake(
             parsed.filter("kind = 'row'").select("table_id", "row_idx", "cells"),
@@ -131,47 +130,117 @@ def _scan_small(spark: SparkSession, root: str, file_type: str, limit: int) -> S
     )
 
 
-# ---- large files ---------------------------------------------------------------------------------
+# ---- CSV files -----------------------------------------------------------------------------------
+
+
+def _column_names(header: list[str]) -> list[str]:
+    """Names of the columns: empty ones are called by their place, repeated ones are numbered."""
+    seen: dict[str, int] = {}
+    names = []
+    for i, name in enumerate(header):
+        name = name or f"Unnamed: {i}"
+        times = seen.get(name, 0)
+        seen[name] = times + 1
+        names.append(f"{name}.{times}" if times else name)
+    return names
+
 
+def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of each record, unquoted; the first record of a table gives the column names."""
+    csv.field_size_limit(2**31 - 1)
+    for batch in batches:
+        rows = []
+        for number, record in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            cells = next(csv.reader(io.StringIO(record, newline="")), [])
+            rows.append(_column_names(cells) if number == 0 else cells)
+        cells = pa.array(rows, pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["table_id", "row_idx", "cells"])
 
-def _fields(line: Column) -> Column:
-    """Fields of a CSV line, unquoted; a doubled quote inside quotes stands for one."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
 
-    def unquoted(field: Column) -> Column:
-        inner = F.regexp_replace(F.regexp_replace(field, r'^"|"$', ""), '""', '"')
-        return F.when(field.startswith('"'), inner).otherwise(field)
+def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table_id, row_idx, record) of all lines, and table ids whose quotes do not close.
 
-    return F.transform(raw, unquoted)
+    A line begins a record if the quotes before it in its file are even in number.
+    """
+    order = [F.col("_block_start"), F.col("_at")]
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    largest = largest_group(lines, ["table_id"])
+    counted = stage(
+        running_sums(lines, ["table_id"], order, {"_quotes": quotes, "_line": F.lit(1).cast("long")}, largest).withColumn(
+            "_begins", (F.col("_quotes") - quotes) % 2 == 0
+        ),
+        "lines",
+    )
+    ends = counted.groupBy("table_id").agg(F.max_by("_quotes", "_line").alias("_all"))
+    unclosed = stage(ends.filter("_all % 2 = 1").select("table_id"), "unclosed")
+    if not unclosed.isEmpty():
+        counted = counted.join(unclosed, "table_id", "left_anti")
+    counted = counted.filter(~F.col("_begins") | (F.col("line") != ""))
+    one = F.when(F.col("_begins"), 1).otherwise(0).cast("long")
+    numbered = running_sums(counted, ["table_id"], [F.col("_line")], {"_record": one}, largest)
+    if counted.filter(~F.col("_begins")).isEmpty():
+        records = numbered.withColumnRenamed("line", "record")
+    else:
+        parts = F.sort_array(F.collect_list(F.struct("_line", "line")))
+        records = numbered.groupBy("table_id", "_record").agg(
+            F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("record")
+        )
+    return records.select("table_id", (F.col("_record") - 1).alias("row_idx"), "record"), unclosed
 
 
-def large_csv(spark: SparkSession, paths: list[str]) -> Lake:
-    """CSV files of any size, split by line, types inferred from the texts.
+def scan_csv(spark: SparkSession, root: str, file_type: str = "csv") -> Scan:
+    """CSV files of any size, read in splits, types inferred from the texts.
 
-    A cell must not contain a line break: such a file cannot be split.
+    Lines that are empty outside quotes are skipped, and missing cells at the end of a row are NULL.
+    Rejected are files without any record, with a row longer than the header, or with an open quote.
     """
+    ship_package(spark)
     lines = (
-        spark.read.text(paths)
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*.{file_type}")
+        .option("lineSep", "\n")
+        .text(root)
         .select(
             F.col("_metadata.file_path").alias("table_id"),
             F.col("_metadata.file_block_start").alias("_block_start"),
             F.monotonically_increasing_id().alias("_at"),
             F.regexp_replace("value", "\r$", "").alias("line"),
         )
-        .filter(F.col("line") != "")
     )
-    numbered = number_rows(lines, ["table_id"], [F.col("_block_start"), F.col("_at")])
-    rows = stage(numbered.select("table_id", "row_idx", _fields(F.col("line")).alias("cells")), "lines")
-    columns = rows.filter(F.col("row_idx") == 0).select(
-        "table_id",
-        F.posexplode("cells").alias("col_idx", "col_name"),
-        F.lit(None).cast("string").alias("base_type"),
+    records, unclosed = _records(lines)
+    rows = stage(records.mapInArrow(_parse_records, "table_id string, row_idx long, cells array<string>"), "rows")
+    shapes = stage(
+        rows.groupBy("table_id").agg(
+            F.max(F.when(F.col("row_idx") == 0, F.size("cells"))).alias("width"),
+            F.max(F.size("cells")).alias("widest"),
+            F.count(F.lit(1)).alias("n"),
+        ),
+        "shapes",
     )
+    good = shapes.filter("widest <= width")
+    columns = (
+        rows.filter(F.col("row_idx") == 0)
+        .join(good, "table_id", "left_semi")
+        .select(
+            "table_id",
+            F.posexplode("cells").alias("col_idx", "col_name"),
+            F.lit(None).cast("string").alias("base_type"),
+        )
+    )
+    largest = shapes.agg(F.max("n")).first()[0] or 0
+    data = attach(rows.filter("row_idx > 0"), good.select("table_id", "width", "n"), ["table_id"], F.col("row_idx"), "n", largest)
     known = F.transform("cells", lambda c: F.when(~c.isin(*MISSING_TEXTS), c))
-    data = rows.filter(F.col("row_idx") > 0).select(
-        "table_id", (F.col("row_idx") - 1).alias("row_idx"), known.alias("cells")
+    padded = F.concat(known, F.array_repeat(F.lit(None).cast("string"), F.col("width") - F.size("cells")))
+    lake = Lake(data.select("table_id", (F.col("row_idx") - 1).alias("row_idx"), padded.alias("cells")), columns)
+    listed = list_tables(spark, root, file_type).select("path")
+    found = shapes.select(F.col("table_id").alias("path")).union(unclosed.select("table_id"))
+    rejected = (
+        listed.join(found, "path", "left_anti")
+        .withColumn("error", F.lit("no columns"))
+        .union(shapes.filter("widest > width").select("table_id", F.lit("a row is longer than the header")))
+        .union(unclosed.select("table_id", F.lit("a quote is not closed")))
     )
-    return retyped(Lake(data, columns))
+    return Scan(retyped(lake), rejected)
 
 
 def retyped(lake: Lake) -> Lake:
@@ -191,7 +260,7 @@ def retyped(lake: Lake) -> Lake:
     def render(cell: Column, kind: Column) -> Column:
         return (
             F.when(kind == "float64", float_text(number(cell)))
-            .when(kind == "int64", cell.try_cast("long").cast("string"))
+            .when(kind == "int64", F.coalesce(cell.try_cast("long").cast("string"), cell))
             .otherwise(cell)
         )
 
@@ -219,8 +288,14 @@ def parquet_table(spark: SparkSession, path: str, table_id: str | None = None) -
 def scan_lake(
     spark: SparkSession, root: str, file_type: str = "csv", small_file_bytes: int = SMALL_FILE_BYTES
 ) -> Scan:
-    """All files of a type under `root`, a table each, named by their paths."""
-    small = _scan_small(spark, root, file_type, small_file_bytes)
+    """All files of a type under `root`, a table each, named by their paths.
+
+    `small_file_bytes` is for Parquet: files up to it are parsed whole inside tasks.
+    """
+    ship_package(spark)
+    if file_type != "parquet":
+        return scan_csv(spark, root, file_type)
+    small = _scan_small(spark, root, small_file_bytes)
     # Only the names of the large files come to the driver, where every reader needs them.
     large = [
         r.path
@@ -231,10 +306,7 @@ def scan_lake(
     ]
     if not large:
         return small
-    if file_type == "parquet":
-        parts = [parquet_table(spark, path) for path in large]
-    else:
-        parts = [large_csv(spark, large)]
+    parts = [parquet_table(spark, path) for path in large]
     return Scan(union_lakes(small.lake, *parts), small.rejected)
 
 

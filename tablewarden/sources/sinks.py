@@ -16,13 +16,18 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_by_table(df: DataFrame, path: str, buckets: int = 256, table: str = "table_id") -> None:
+def write_by_table(
+    df: DataFrame, path: str, buckets: int = 256, table: str = "table_id", files: int = 4
+) -> None:
     """Per-table outputs (measures, findings), tables grouped into a fixed number of folders.
 
     One folder per table would be millions of files; a reader of one table filters on its bucket.
+    Rows of a bucket are dealt to at most `files` files, hot tables among them.
     """
     bucket = table_bucket(F.col(table), buckets)
-    df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    dealt = df.withColumn("bucket", bucket).repartition(F.col("bucket"), salt)
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def table_bucket(table: Column, buckets: int = 256) -> Column:

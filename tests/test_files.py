@@ -37,6 +37,44 @@ def test_csv_small_and_large(spark, tmp_path, small_file_bytes):
     assert scan.rejected.count() == 0
 
 
+def test_csv_forms(spark, tmp_path, monkeypatch):
+    """Quoted line breaks, headers, ragged rows, big numbers and long fields, in small splits as well."""
+    long = "x" * 20_000 + '""' * 3_000
+    texts = {
+        "breaks": 'a,b\n"one\n\ntwo",1\n\n3,"4 ""q"""\n',
+        "names": "a,a,\n1,2,3\n",
+        "short": "a,b\n1\n2,3\n",
+        "wide": "a,b\n1,2,3\n",
+        "open": 'a,b\n1,"2\n3,4\n',
+        "big": "n\n9223372036854775808\n12\n",
+        "long": f'a,b\n"{long}",1\n',
+        "crlf": "a,b\r\n1,x\r\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    expected = {
+        "breaks": [["one\n\ntwo", "1"], ["3", '4 "q"']],
+        "names": [["1", "2", "3"]],
+        "short": [["1", None], ["2", "3.0"]],
+        "big": [["9223372036854775808"], ["12"]],
+        "long": [["x" * 20_000 + '"' * 3_000, "1"]],
+        "crlf": [["1", "x"]],
+    }
+    for size in ("128m", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            scan = scan_lake(spark, str(tmp_path))
+            found = {}
+            for r in scan.lake.rows.orderBy("row_idx").collect():
+                found.setdefault(r.table_id.rsplit("/", 1)[-1][:-4], []).append(list(r.cells))
+            rejected = {r.path.rsplit("/", 1)[-1][:-4] for r in scan.rejected.collect()}
+            names = scan.lake.columns.filter("table_id LIKE '%names.csv'").orderBy("col_idx").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert found == expected and rejected == {"wide", "open"}
+        assert [r.col_name for r in names] == ["a", "a.1", "Unnamed: 2"]
+
+
 def test_broken_files_are_reported(spark, tmp_path):
     (tmp_path / "good.csv").write_text(CSV)
     (tmp_path / "bad.csv").write_text("\n")

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import pieces, spans
+from tablewarden.llm.common import as_bytes, pieces, slices, spans
 from tablewarden.llm.rolling import Rolling, mix
 from tablewarden.session import ship_package, stage
 
@@ -30,8 +31,8 @@ from tablewarden.session import ship_package, stage
 PERIOD, COVER = 13, np.array([0, 1, 3, 9])
 GRAM = 24
 # Bytes of text hashed at once; bytes of the stretches sorted at once; windows of one bucket beyond
-# which it is dealt out by a hash of each window.
-CHUNK, BLOCK, BUCKET = 1 << 19, 1 << 20, 1 << 16
+# which it is dealt out by what the windows of STEP neighbouring places have in common.
+CHUNK, BLOCK, BUCKET, STEP = 1 << 18, 1 << 19, 1 << 13, 8
 
 
 def _runs(codes: np.ndarray, starts: np.ndarray, length: int, gram: int):
@@ -80,8 +81,8 @@ def _stretches(length: int, gram: int):
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+        for batch in (part for b in batches for part in slices(b, b.column(2), 2 * CHUNK)):
+            texts = as_bytes(batch.column(2))
             hashes = np.asarray(batch.column(1), np.int64)
             # Long texts in slices that overlap by a window less one byte.
             parts = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - length + 1), CHUNK)]
@@ -124,8 +125,6 @@ def _stretches(length: int, gram: int):
 
 def _ranks(ids: pa.Array) -> np.ndarray:
     """Order of ids, null last."""
-    import pyarrow.compute as pc
-
     return np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense"), np.int64)
 
 
@@ -228,7 +227,7 @@ def _sort_blocks(length: int):
             table = pa.Table.from_batches([*held, batch])
             bucket = np.stack([np.asarray(table["anchor"]), np.asarray(table["part"])], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero(np.any(bucket[1:] != bucket[:-1], axis=1)) + 1])
-            weights = np.add.reduceat(np.array([len(t) for t in table["text"].to_pylist()]), cuts)
+            weights = np.add.reduceat(np.asarray(pc.binary_length(table["text"]), np.int64), cuts)
             # The last bucket may go on in the next batch.
             done = 0
             for a, b in pieces(weights[:-1].tolist(), int, BLOCK):
@@ -241,6 +240,67 @@ def _sort_blocks(length: int):
     return rows
 
 
+def _deal_large(length: int, gram: int):
+    """Stretches of large buckets, cut where a window's distance to its anchor passes a multiple of STEP.
+
+    Windows of one piece share all but a few bytes, whose hash is the new part of the bucket: equal
+    windows have it in common. Of pieces of a batch that are equal as a whole only the earliest goes
+    on; the others are gone.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, b.column(5), CHUNK)):
+            all_texts = batch.column(5).to_pylist()
+            for low, high in pieces(all_texts, len, CHUNK):
+                texts, some = all_texts[low:high], batch.slice(low, high - low)
+                starts = spans(np.array([len(t) for t in texts], np.int64))
+                codes = np.frombuffer(b"".join(texts), np.uint8)
+                number = np.asarray(some.column(4), np.int64)
+                # Each text is one stretch, so it has one anchor.
+                place = _runs(codes, starts, length, gram)[2]
+                row = np.repeat(np.arange(len(texts)), number)
+                within = np.arange(number.sum()) - np.repeat(spans(number)[:-1], number)
+                group = (place[row] - starts[row] - within) // STEP
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])]))
+                count = np.diff(np.concatenate([first, [len(row)]]))
+                row, group, within = row[first], group[first], within[first]
+                begin = starts[row] + within
+                core = place[row] - group * STEP
+                hashes = Rolling(codes)
+                part = mix(hashes.of(core, core + length - STEP + 1) + group.astype(np.uint64))
+                whole = mix(hashes.of(begin, begin + count + length - 1) ^ mix((count << 32 | (core - begin + STEP)).astype(np.uint64)))
+                at = pa.array(row)
+                ids, doc = some.column(1).take(at), np.asarray(some.column(2), np.int64)[row]
+                start = np.asarray(some.column(3), np.int64)[row] + within
+                anchor = np.asarray(some.column(0), np.int64)[row]
+                rank = _ranks(ids)
+                order = np.lexsort((start, doc, rank, whole, part, anchor))
+                same, twin = np.ones(len(row) - 1, bool), np.ones(len(row) - 1, bool)
+                for x in (whole, part, anchor):
+                    same &= x[order][1:] == x[order][:-1]
+                for x in (start, doc, rank):
+                    twin &= x[order][1:] == x[order][:-1]
+                gone = np.zeros(len(row), bool)
+                gone[order[1:][same]] = True
+                stay = np.ones(len(row), bool)
+                stay[order[1:][same & twin]] = False
+                text = [None if g else texts[r][w : w + c + length - 1] for g, r, w, c in zip(gone.tolist(), row.tolist(), within.tolist(), count.tolist())]
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor), _signed(part), ids, pa.array(doc), pa.array(start),
+                        pa.array(count.astype(np.int16)), pa.array(text, pa.binary()), pa.array(gone),
+                    ],
+                    ["anchor", "part", "_id", "_hash", "start", "number", "text", "gone"],
+                )
+                yield out.filter(pa.array(stay))
+
+    return rows
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int, text: str = "_text") -> DataFrame:
     """Bytes of stretches: `wanted` rows (_id, _hash, start, number, ...) joined with their texts."""
     w = wanted.withColumnRenamed("_id", "_in").withColumnRenamed("_hash", "_in_hash")
@@ -353,16 +413,16 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataF
     wanted = open_.join(large, F.col("anchor") == F.col("_a"), "left").drop("_a")
     cut = _cut_out(docs, wanted, length)
     usual = cut.where("n IS NULL").select("anchor", F.lit(0).cast("long").alias("part"), "_id", "_hash", "start", "number", "text")
-    split = (
-        cut.where("n IS NOT NULL")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
-        .withColumn("text", F.substring("text", F.col("k") + 1, F.lit(length)))
-        .select(
-            "anchor", F.xxhash64("text").alias("part"), "_id", "_hash", (F.col("start") + F.col("k")).alias("start"),
-            F.lit(1).cast("short").alias("number"), "text",
-        )
-    )
-    blocks = usual.union(split).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    dealt = cut.where("n IS NOT NULL").select("anchor", "_id", "_hash", "start", "number", "text")
+    dealt = dealt.mapInArrow(
+        _deal_large(length, gram),
+        f"anchor long, part long, _id {kind}, _hash long, start long, number short, text binary, gone boolean",
+    )
+    dealt = stage(dealt, "dealt")
+    settled = settled.union(
+        dealt.where("gone").select("_id", "_hash", F.col("start").alias("low"), (F.col("start") + F.col("number") + (length - 1)).alias("high"))
+    )
+    blocks = usual.union(dealt.where("NOT gone").drop("gone")).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     sorted_ = blocks.mapInArrow(_sort_blocks(length), f"_id {kind}, _hash long, low long, high long")
     return settled.union(sorted_)
 
@@ -378,7 +438,7 @@ def _merge(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b, b.column(1))):
         out: list[list] = [[], [], [], [], []]
         texts = batch.column(1).to_pylist()
         for text, low, high in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):

@@ -58,24 +58,41 @@ def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
     violated counts the determinant values with several dependent values. code is 2 * row + 1 if
     dropping that row repairs its determinant value and 2 * row if not, for the first violating row.
     """
+    # A row per determinant column, so a list is as long as a table is wide at most.
     wanted = (
         pairs.filter("open")
-        .groupBy("table_id")
-        .agg(
-            F.collect_list(F.struct("col_1_idx", "col_2_idx")).alias("open_pairs"),
-            F.max("n_rows").alias("n_rows"),
-        )
+        .groupBy("table_id", "col_1_idx")
+        .agg(F.collect_list("col_2_idx").alias("others"), F.max("n_rows").alias("n_rows"))
     )
-    rows = attach(lake.rows, wanted, ["table_id"], F.col("row_idx"), "n_rows", largest)
-
+    # Every text is hashed once to 128 bits; the many rows of pairs hold numbers only.
+    hashed = lake.rows.select(
+        "table_id",
+        "row_idx",
+        F.transform(
+            "cells",
+            lambda c: F.when(
+                c.isNotNull(), F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit(1), c).alias("y"))
+            ),
+        ).alias("cells"),
+    )
+    rows = attach(hashed, wanted, ["table_id"], F.col("row_idx"), "n_rows", largest)
+    one, two = F.col("one"), F.get("cells", F.col("col_2_idx"))
     cells = (
-        rows.select("table_id", "row_idx", "cells", F.inline("open_pairs"))
-        .select(*PAIR_KEY, "row_idx", *[F.get("cells", F.col(c)).alias(n) for c, n in zip(PAIR_KEY[1:], "ab")])
-        .filter(F.col("a").isNotNull())
-        .withColumn("b", F.coalesce("b", F.concat(F.char(F.lit(0)), F.col("row_idx").cast("string"))))
+        rows.withColumn("one", F.get("cells", F.col("col_1_idx")))
+        .filter(one.isNotNull())
+        .select("table_id", "col_1_idx", "row_idx", "cells", "one", F.explode("others").alias("col_2_idx"))
+        .select(
+            *PAIR_KEY,
+            "row_idx",
+            one["x"].alias("a_x"),
+            one["y"].alias("a_y"),
+            # A missing dependent equals nothing: its row and no second hash.
+            F.coalesce(two["x"], F.col("row_idx").cast("long")).alias("b_x"),
+            two["y"].alias("b_y"),
+        )
     )
-    value_key = [*PAIR_KEY, "a"]
-    groups = cells.groupBy(*value_key, "b").agg(
+    value_key = [*PAIR_KEY, "a_x", "a_y"]
+    groups = cells.groupBy(*value_key, "b_x", "b_y").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first")
     )
     # Three groups per determinant value tell all: the second holds the violation, and dropping it

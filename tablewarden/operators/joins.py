@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from tablewarden.operators.ordered import GROUP_LIMIT
 from tablewarden.session import stage
 
-# A summary is broadcast only when it was counted and has at most this many (narrow) rows.
+# A summary is broadcast only when it was counted and has at most this many rows, and bytes as JSON.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 # Rows of one key that share a join task otherwise.
 BLOCK_ROWS = 1_000_000
 
 
+def _is_small(summary: DataFrame, rows: int) -> bool:
+    if summary.count() > rows:
+        return False
+    size = summary.agg(F.sum(F.octet_length(F.to_json(F.struct(*summary.columns))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def attach(
     big: DataFrame,
     summary: DataFrame,
@@ -42,7 +50,7 @@ def attach(
     if largest <= limit:
         return big.join(summary.drop(extent), keys, how)
     summary = stage(summary, "summary")
-    if summary.count() <= broadcast_rows:
+    if _is_small(summary, broadcast_rows):
         return big.join(F.broadcast(summary.drop(extent)), keys, how)
     last = F.floor((F.greatest(F.col(extent), F.lit(1)) - 1) / block_rows)
     blocks = summary.withColumn(

@@ -3,12 +3,15 @@
 Only distinct texts matter, as equal ones are ignored. Three exact ways share the work, so that no
 column of any size is compared all with all:
 
-* short columns (up to SHORT_COLUMN texts): compared inside one row, as an array of bounded length;
+* short columns (up to SHORT_COLUMN texts of SHORT_CHARS characters together): compared inside one
+  row, as an array of bounded length;
 * distance 1 in longer columns: texts one edit apart share a text with one character left out, so
   grouping these variants finds them with a number of rows linear in the texts. A group is as large
-  as the alphabet times the length at most, and three of its members stand for all of its pairs;
-* what is still open then: a bound from neighbours in sorted order, and a grid join on the length
-  and on the distances to two pivot texts, which cannot differ by more than the bound.
+  as the alphabet times the length at most, and three of its members stand for all of its pairs.
+  Long texts group on hashes of the variants, so a variant takes 16 bytes rather than the text's;
+* what is still open then: a bound from the shortest texts and from neighbours in sorted order, and
+  a grid join on the length and on the distances to two pivot texts, which cannot differ by more
+  than the bound. Cells are cut into blocks, and a task compares blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,16 +20,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.functions.buckets import token_length_range
 from tablewarden.functions.text import mean_difference_length
 from tablewarden.operators.joins import attach
 from tablewarden.operators.profile import COLUMN_KEY
-from tablewarden.session import stage
+from tablewarden.operators.variants import variant_rows
+from tablewarden.session import ship_package, stage
 
 SHORT_COLUMN = 64
+SHORT_CHARS = 8_192
 # Longer texts must share a half with another text before their variants are built.
 LONG_TEXT = 64
+# Pivots are cut to this many characters, and distances to them are counted up to twice as many.
+PIVOT_CHARS = 64
+# Texts of a block of a grid cell, and pairs of texts that a task compares on average.
+BLOCK_TEXTS = 256
+TASK_PAIRS = 4_000_000
+# Groups of characters whose numbers are compared before the texts are.
+LETTER_GROUPS = ("eaiou", "tnsrhl", "0123", "456789")
 
 
 # ---- short columns -------------------------------------------------------------------------------
@@ -126,19 +139,8 @@ def _with_close_half(texts: DataFrame, keys: list[str]) -> DataFrame:
     return texts.join(close, [*keys, "first_row"], "left_semi")
 
 
-def adjacent_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j) with i < j: pairs at distance 1, at most three per group of variants.
-
-    A group holds either the texts that differ in one given position, all one apart, or a text with
-    those that have one character more, each one apart from it. Its three (or the centre and two)
-    earliest rows contain its first pair, and a pair without any given row if the group has one.
-    """
-    short = texts.filter(F.length("text") <= LONG_TEXT)
-    edge = texts.filter(F.length("text") >= LONG_TEXT)
-    texts = short.unionByName(
-        _with_close_half(edge, keys).filter(F.length("text") > LONG_TEXT)
-    )
-    # Texts of exactly LONG_TEXT characters stay short; `edge` has them as partners of longer ones.
+def _short_variants(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_row, long, gap, rest, centre) of every text, as `variant_rows` has them."""
     position = F.sequence(F.lit(1), F.length("text"))
 
     def left_out(p: Column) -> Column:
@@ -163,9 +165,45 @@ def adjacent_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
         F.col("text").alias("rest"),
         F.lit(True).alias("centre"),
     )
+    return reduce(DataFrame.unionByName, [swaps, losses, centres]).select(
+        *keys, "first_row", F.lit(False).alias("long"), "gap", F.col("rest").cast("binary").alias("rest"), "centre"
+    )
+
+
+def _long_variants(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with hashes in place of the texts."""
+    ship_package(texts.sparkSession)
+    # Few bytes each, but as many rows as characters.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = texts.select(*keys, "first_row", "text").repartition(tasks, *keys, "first_row")
+    fields = [kept.schema[k] for k in [*keys, "first_row"]]
+    schema = T.StructType(
+        [
+            *fields,
+            T.StructField("gap", T.IntegerType()),
+            T.StructField("rest", T.BinaryType()),
+            T.StructField("centre", T.BooleanType()),
+        ]
+    )
+    return kept.mapInArrow(variant_rows(keys), schema).withColumn("long", F.lit(True))
+
+
+def adjacent_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j) with i < j: pairs at distance 1, at most three per group of variants.
+
+    A group holds either the texts that differ in one given position, all one apart, or a text with
+    those that have one character more, each one apart from it. Its three (or the centre and two)
+    earliest rows contain its first pair, and a pair without any given row if the group has one.
+    """
+    variants = _short_variants(texts.filter(F.length("text") <= LONG_TEXT), keys)
+    # Texts of exactly LONG_TEXT characters are also the partners of longer ones.
+    edge = texts.filter(F.length("text") >= LONG_TEXT)
+    if not edge.filter(F.length("text") > LONG_TEXT).isEmpty():
+        long = stage(_with_close_half(edge, keys), "long_texts")
+        if not long.isEmpty():
+            variants = variants.unionByName(_long_variants(long, keys))
     groups = (
-        reduce(DataFrame.unionByName, [swaps, losses, centres])
-        .groupBy(*keys, "gap", "rest")
+        variants.groupBy(*keys, "long", "gap", "rest")
         .agg(
             F.sort_array(F.collect_list(F.when(~F.col("centre"), F.col("first_row")))).alias("rows"),
             F.max(F.when(F.col("centre"), F.col("first_row"))).alias("hub"),
@@ -193,11 +231,29 @@ def adjacent_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _upper_bounds(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bound): the smallest distance between neighbours in two sorted orders.
+    """(keys, bound, _extent): a distance that some pair is within, whichever one text is left out.
 
-    Any pair gives a valid bound, so looking only inside partitions is enough; keys without a
-    neighbour there fall back to their longest text, which no distance exceeds.
+    Two of the three shortest texts are no further apart than the longest of them is long.
+    Neighbours in two sorted orders, looked at inside partitions only, are compared within that
+    bound; a text is in two pairs of an order, so the third smallest distance of an order holds.
     """
+    by_length = Window.partitionBy(*keys).orderBy("length")
+    # As many rows as different lengths; texts may share a length.
+    lengths = texts.groupBy(*keys, F.length("text").alias("length")).agg(
+        F.count(F.lit(1)).alias("c"), (F.max("first_row") + 1).alias("row")
+    )
+    starts = stage(
+        lengths.withColumn("upto", F.sum("c").over(by_length))
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.min(F.when(F.col("upto") >= 3, F.col("length"))), F.max("length")).alias("start"),
+            F.max("row").alias("_extent"),
+            F.max("upto").alias("texts"),
+        )
+        .filter(F.col("texts") > 1)
+        .drop("texts"),
+        "starts",
+    )
     found = []
     for order in (F.col("text"), F.reverse("text")):
         ranged = texts.withColumn("_order", order).repartitionByRange(
@@ -207,84 +263,182 @@ def _upper_bounds(texts: DataFrame, keys: list[str]) -> DataFrame:
         found.append(
             ranged.withColumn("_part", F.spark_partition_id())
             .withColumn("_before", F.lag("text").over(before))
-            .select(*keys, F.levenshtein("text", "_before").alias("d"), F.length("text").alias("longest"))
+            .filter(F.col("_before").isNotNull())
+            .select(*keys, "first_row", "text", "_before")
         )
-    return (
-        found[0]
-        .unionByName(found[1])
+    both = found[0].withColumn("_in", F.lit(0)).unionByName(found[1].withColumn("_in", F.lit(1)))
+    smallest = Window.partitionBy(*keys, "_in").orderBy("d")
+    near = (
+        attach(both, starts, keys, F.col("first_row"), "_extent", 1, limit=0)
+        .select(*keys, "_in", F.expr("levenshtein(text, _before, start)").alias("d"))
+        .filter(F.col("d") >= 0)
+        .withColumn("rank", F.row_number().over(smallest))
+        .filter(F.col("rank") <= 3)  # taken before the shuffle as well
+        .groupBy(*keys, "_in")
+        .agg(F.max(F.when(F.col("rank") == 3, F.col("d"))).alias("d"))
         .groupBy(*keys)
-        .agg(F.coalesce(F.min("d"), F.max("longest")).alias("bound"), F.count(F.lit(1)).alias("c"))
-        .filter(F.col("c") > 2)
-        .drop("c")
+        .agg(F.min("d").alias("d"))
+    )
+    return starts.join(near, keys, "left").select(
+        *keys, F.coalesce("d", "start").alias("bound"), "_extent"
     )
 
 
-def closest_pairs(texts: DataFrame, keys: list[str], largest: int) -> DataFrame:
-    """(keys, d, i, j): the smallest distance and its first pair of rows, for any distance.
-
-    Exact: texts within the bound differ by at most the bound in length and in their distance to
-    any pivot, so they lie in the same or in adjacent cells of a grid of that width. Candidate
-    pairs are compared as they are joined and only the closest survive the partial aggregate; the
-    join has no aggregate on its own keys behind it, so adaptive execution may split hot cells.
-    """
-    pivots = texts.groupBy(*keys).agg(
-        F.min("text").alias("p1"),
-        F.max("text").alias("p2"),
-        (F.max("first_row") + 1).alias("_extent"),
-    )
-    summary = stage(pivots.join(_upper_bounds(texts, keys), keys), "bounds")
+def _placed(texts: DataFrame, summary: DataFrame, keys: list[str], largest: int) -> DataFrame:
+    """Texts with what cannot differ by more than the bound between texts within it: length (c0),
+    distances to two pivots (c1, c2) and numbers of characters of some groups (c3, ...)."""
     # Never joined on the keys alone: the comparisons of a column have to spread over its cells.
-    placed = attach(texts, summary, keys, F.col("first_row"), "_extent", largest, limit=0)
-    placed = placed.select(
+    joined = attach(texts, summary, keys, F.col("first_row"), "_extent", largest, limit=0)
+    far = 2 * PIVOT_CHARS
+
+    def distance(pivot: str) -> Column:
+        # Cut off at `far`, a distance still differs by no more than the whole one.
+        d = F.expr(f"levenshtein(text, {pivot}, {far})")
+        return F.when(d < 0, far).otherwise(d)
+
+    groups = [
+        F.length("text") - F.length(F.translate("text", letters, "")) for letters in LETTER_GROUPS
+    ]
+    return joined.select(
         *keys,
         "first_row",
         "text",
         "bound",
         F.length("text").alias("c0"),
-        F.levenshtein("text", "p1").alias("c1"),
-        F.levenshtein("text", "p2").alias("c2"),
+        distance("p1").alias("c1"),
+        distance("p2").alias("c2"),
+        *[c.alias(f"c{k}") for k, c in enumerate(groups, 3)],
     )
+
+
+def closest_pairs(
+    texts: DataFrame, keys: list[str], largest: int, block_texts: int | None = None
+) -> DataFrame:
+    """(keys, d, i, j, d_i, d_j): the smallest distance, its first pair of rows, and the smallest
+    distances of pairs without i and without j (NULL if there is none).
+
+    Exact: texts within the bound differ by at most the bound in length and in their distance to
+    any pivot, so they lie in the same or in adjacent cells of a grid of that width. A cell is cut
+    into blocks of about `block_texts` texts by their row hashes; each pair of blocks of two
+    neighbouring cells is a join key of its own, so no task has a whole hot cell to compare. Of each
+    only three pairs go on: the closest, and the closest without either of its rows. Whatever row is
+    left out in the end, the closest pair without it is among them.
+    """
+    spark = texts.sparkSession
+    block_texts = BLOCK_TEXTS if block_texts is None else block_texts
+    pivots = texts.groupBy(*keys).agg(
+        F.min(F.left("text", F.lit(PIVOT_CHARS))).alias("p1"),
+        F.max(F.left("text", F.lit(PIVOT_CHARS))).alias("p2"),
+    )
+    summary = stage(pivots.join(_upper_bounds(texts, keys), keys), "bounds")
     width = F.col("bound") + 1
     axes = ["c0", "c1", "c2"]
-    cells = placed.select("*", *[F.floor(F.col(a) / width).alias(f"g_{a}") for a in axes])
+    grid = [f"g_{a}" for a in axes]
+    cells = stage(
+        _placed(texts, summary, keys, largest).select(
+            "*", *[F.floor(F.col(a) / width).alias(g) for a, g in zip(axes, grid, strict=True)]
+        ),
+        "cells",
+    )
+    # Blocks of every cell, and the cells next to it that exist, one of two opposite ones.
+    sizes = cells.groupBy(*keys, *grid).agg(F.count(F.lit(1)).alias("n"))
+    sizes = stage(sizes.withColumn("blocks", F.ceil(F.col("n") / block_texts)), "cell_sizes")
     steps = [
         (x, y, z)
         for x in (-1, 0, 1)
         for y in (-1, 0, 1)
         for z in (-1, 0, 1)
-        if (x, y, z) >= (0, 0, 0)  # one of two opposite neighbours
+        if (x, y, z) >= (0, 0, 0)
     ]
     moves = F.array(
-        *[
-            F.struct(*[F.lit(s).alias(f"s_{a}") for s, a in zip(step, axes, strict=True)])
-            for step in steps
-        ]
+        *[F.struct(*[F.lit(s).alias(f"s_{a}") for s, a in zip(step, axes, strict=True)]) for step in steps]
     )
-    moved = cells.select("*", F.inline(moves))
-    left = moved.select(
-        *keys,
-        *[(F.col(f"g_{a}") + F.col(f"s_{a}")).alias(f"g_{a}") for a in axes],
-        F.col("first_row").alias("row_a"),
-        F.col("text").alias("text_a"),
-        *[F.col(a).alias(f"{a}_a") for a in axes],
-        ((F.col("s_c0") == 0) & (F.col("s_c1") == 0) & (F.col("s_c2") == 0)).alias("same_cell"),
+    there = [f"t_{a}" for a in axes]
+    neighbours = (
+        sizes.select("*", F.inline(moves))
+        .select(*keys, *grid, "n", "blocks", *[(F.col(g) + F.col(f"s_{a}")).alias(t) for g, a, t in zip(grid, axes, there, strict=True)])
+        .join(
+            sizes.select(
+                *keys,
+                *[F.col(g).alias(t) for g, t in zip(grid, there, strict=True)],
+                F.col("n").alias("n_there"),
+                F.col("blocks").alias("blocks_there"),
+            ),
+            [*keys, *there],
+        )
     )
-    near = reduce(
-        lambda x, y: x & y, [F.abs(F.col(a) - F.col(f"{a}_a")) <= F.col("bound") for a in axes]
+    neighbours = stage(neighbours, "neighbours")
+    pairs = neighbours.agg(F.sum(F.col("n").cast("double") * F.col("n_there"))).first()[0] or 0.0
+    # Given by number, so that partitions of few bytes and many pairs are not merged.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(pairs // TASK_PAIRS) + 1)
+
+    def block(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("first_row"), blocks)
+
+    def numbers(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    # A text goes to every block of every neighbouring cell, spread by its own row before the join
+    # with the short list of its cell's neighbours, which adaptive execution may split.
+    task_key = [*keys, *grid, *there, "_b", "_bt"]
+    fields = ["first_row", "text", "bound", *[f"c{k}" for k in range(3 + len(LETTER_GROUPS))]]
+    left = (
+        cells.join(neighbours, [*keys, *grid])
+        .withColumn("_b", block(F.col("blocks")))
+        .withColumn("_bt", numbers("blocks_there"))
+        .select(*task_key, *[F.col(f).alias(f"{f}_a") for f in fields])
+        .repartition(tasks, *task_key)
     )
+    right = (
+        cells.withColumnsRenamed(dict(zip(grid, there, strict=True)))
+        .join(neighbours, [*keys, *there])
+        .withColumn("_bt", block(F.col("blocks_there")))
+        .withColumn("_b", numbers("blocks"))
+        .select(*task_key, *fields)
+        .repartition(tasks, *task_key)
+    )
+    same_cell = reduce(lambda x, y: x & y, [F.col(g) == F.col(t) for g, t in zip(grid, there, strict=True)])
+    apart = [F.abs(F.col(f) - F.col(f"{f}_a")) for f in fields if f[0] == "c"]
+    near = reduce(lambda x, y: x & y, [d <= F.col("bound") for d in apart])
+    # One edit takes a character from one group and adds it to another at most.
+    near &= reduce(lambda x, y: x + y, apart[3:]) <= 2 * F.col("bound")
     compared = (
-        left.join(cells, [*keys, *[f"g_{a}" for a in axes]])
-        .filter(near & (~F.col("same_cell") | (F.col("row_a") < F.col("first_row"))))
+        left.join(right, task_key)
+        .filter(near & (~same_cell | (F.col("first_row_a") < F.col("first_row"))))
         .select(
-            *keys,
-            F.expr("levenshtein(text_a, text, bound)").cast("long").alias("d"),
-            F.least("row_a", "first_row").alias("i"),
-            F.greatest("row_a", "first_row").alias("j"),
+            *task_key,
+            F.struct(
+                F.expr("levenshtein(text_a, text, bound)").cast("long").alias("d"),
+                F.least("first_row_a", "first_row").alias("i"),
+                F.greatest("first_row_a", "first_row").alias("j"),
+            ).alias("p"),
+        )
+        .filter(F.col("p.d") >= 0)  # -1 stands for more than the bound
+        .withColumn("top", F.min("p").over(Window.partitionBy(*task_key)))
+    )
+
+    def without(end: str) -> Column:
+        dropped = F.col(f"top.{end}")
+        return F.min(F.when((F.col("p.i") != dropped) & (F.col("p.j") != dropped), F.col("p")))
+
+    leading = compared.groupBy(*task_key).agg(
+        F.min("p").alias("top"), without("i").alias("without_i"), without("j").alias("without_j")
+    )
+    leading = stage(
+        leading.select(*keys, F.explode(F.array_compact(F.array("top", "without_i", "without_j"))).alias("p")),
+        "leading",
+    )
+    best = leading.groupBy(*keys).agg(F.min("p").alias("top"), (F.max("p.i") + 1).alias("_extent"))
+    return (
+        attach(leading, best, keys, F.col("p.i"), "_extent", largest)
+        .groupBy(*keys)
+        .agg(
+            F.min("top").alias("top"),
+            without("i")["d"].alias("d_i"),
+            without("j")["d"].alias("d_j"),
         )
-        .filter(F.col("d") >= 0)  # -1 stands for more than the bound
+        .select(*keys, "top.*", "d_i", "d_j")
     )
-    best = compared.groupBy(*keys).agg(F.min(F.struct("d", "i", "j")).alias("best"))
-    return best.select(*keys, "best.*")
 
 
 # ---- long columns --------------------------------------------------------------------------------
@@ -295,7 +449,8 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
     adjacent = stage(adjacent_pairs(values, COLUMN_KEY), "adjacent")
     first = adjacent.groupBy(*COLUMN_KEY).agg(F.min(F.struct("i", "j")).alias("p"))
     settled = first.select(
-        *COLUMN_KEY, F.lit(1).cast("long").alias("d"), F.col("p.i").alias("i"), F.col("p.j").alias("j")
+        *COLUMN_KEY, F.lit(1).cast("long").alias("d"), F.col("p.i").alias("i"), F.col("p.j").alias("j"),
+        F.lit(None).cast("long").alias("d_i"), F.lit(None).cast("long").alias("d_j"), F.lit(False).alias("searched"),
     )
     extents = values.groupBy(*COLUMN_KEY).agg((F.max("first_row") + 1).alias("_extent"))
     apart = attach(
@@ -311,7 +466,7 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
         closest = stage(settled, "closest")
     else:
         found = closest_pairs(stage(apart, "apart"), COLUMN_KEY, largest)
-        closest = stage(settled.unionByName(found), "closest")
+        closest = stage(settled.unionByName(found.withColumn("searched", F.lit(True))), "closest")
 
     # Texts and counts of both rows: (key, first_row) identifies a text, so this join has no hot key.
     def end(name: str) -> DataFrame:
@@ -338,8 +493,10 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
     )
 
     def second(end_name: str) -> Column:
-        return F.when(F.col(f"n_{end_name}") > 1, F.col("d")).when(
-            F.col(f"one_{end_name}"), F.lit(1).cast("long")
+        return (
+            F.when(F.col(f"n_{end_name}") > 1, F.col("d"))
+            .when(F.col(f"one_{end_name}"), F.lit(1).cast("long"))
+            .otherwise(F.col(f"d_{end_name}"))
         )
 
     partial = stage(
@@ -352,11 +509,12 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
             "text_j",
             second("i").alias("d_i"),
             second("j").alias("d_j"),
+            "searched",
         ),
         "spelling",
     )
-    # The rest is searched again in the column without the dropped row.
-    open_ends = partial.select(
+    # Where all pairs at distance 1 have the dropped row, the column is searched without it.
+    open_ends = partial.filter("NOT searched").select(
         *COLUMN_KEY,
         F.explode(
             F.filter(
@@ -368,6 +526,7 @@ def _long_columns(values: DataFrame, largest: int) -> DataFrame:
             )
         ).alias("e"),
     ).select(*COLUMN_KEY, "e.end", "e.dropped")
+    partial = partial.drop("searched")
     if open_ends.isEmpty():
         return partial
     left = attach(
@@ -399,17 +558,18 @@ def spelling_pairs(
     """
     short = SHORT_COLUMN if short is None else short
     texts = values.select(*COLUMN_KEY, "text", "n", "first_row")
-    if largest <= short:
+    chars = stage(texts.groupBy(*COLUMN_KEY).agg(F.sum(F.length("text")).alias("chars")), "chars")
+    if largest <= short and chars.filter(F.col("chars") > SHORT_CHARS).isEmpty():
         return _short_columns(texts)
-    size = profiled.select(*COLUMN_KEY, "n_texts", "n_rows")
-    few = attach(
-        texts, size.filter(F.col("n_texts") <= short), COLUMN_KEY, F.col("first_row"), "n_rows", largest
-    )
-    many = attach(
-        texts, size.filter(F.col("n_texts") > short), COLUMN_KEY, F.col("first_row"), "n_rows", largest
+    is_short = (F.col("n_texts") <= short) & (F.col("chars") <= SHORT_CHARS)
+    size = profiled.join(chars, COLUMN_KEY).select(*COLUMN_KEY, "n_rows", is_short.alias("is_short"))
+    # One pass over the texts, split by the flag.
+    flagged = stage(
+        attach(texts, size, COLUMN_KEY, F.col("first_row"), "n_rows", largest), "flagged"
     )
-    many = stage(many.drop("n_texts"), "long_columns")
-    return _short_columns(few.drop("n_texts")).unionByName(_long_columns(many, largest))
+    few = flagged.filter("is_short").drop("is_short")
+    many = flagged.filter("NOT is_short").drop("is_short")
+    return _short_columns(few).unionByName(_long_columns(many, largest))
 
 
 def spelling_measures(

@@ -49,7 +49,22 @@ ORDERS = SqlLake(
             "orders",
             "CAST(o_custkey AS VARCHAR)",
             "o_orderkey",
-            [("o_orderstatus", "text"), ("o_totalprice", "double"), ("o_orderpriority", "text")],
+            [
+                ("o_orderstatus", "text"),
+                ("o_totalprice", "double"),
+                ("o_orderdate", "timestamp"),
+                ("o_orderpriority", "text"),
+            ],
+        )
+    ]
+)
+# Orders with prices and priorities taken out by their keys.
+BLANKED = SqlLake(
+    [
+        (
+            "(SELECT * REPLACE (CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS o_totalprice, "
+            "CASE WHEN o_orderkey % 13 <> 1 THEN o_orderpriority END AS o_orderpriority) FROM orders)",
+            *ORDERS.tables[0][1:],
         )
     ]
 )
@@ -67,6 +82,9 @@ LINEITEM = SqlLake(
                 ("l_linestatus", "text"),
                 ("l_extendedprice", "double"),
                 ("l_discount", "double"),
+                ("l_linenumber", "int"),
+                ("l_tax", "double"),
+                ("l_shipdate", "timestamp"),
             ],
         )
     ]
@@ -77,7 +95,7 @@ EVENTS = SqlLake(
             "events",
             "CAST(user_id AS VARCHAR)",
             "event_id",
-            [("event_type", "text"), ("value", "double"), ("props", "text")],
+            [("event_type", "text"), ("value", "double"), ("props", "text"), ("ts", "timestamp")],
         )
     ]
 )
@@ -133,13 +151,14 @@ WHOLE = SqlLake(
                 ("o_custkey", "int"),
                 ("o_orderstatus", "text"),
                 ("o_totalprice", "double"),
+                ("o_orderdate", "timestamp"),
                 ("o_orderpriority", "text"),
             ],
         ),
     ]
 )
 # Texts of all documents of one source as one table.
-DOCUMENTS = SqlLake([("documents", "source", "doc_id", [("text", "text"), ("lang", "text")])])
+DOCUMENTS = SqlLake([("documents", "source", "doc_id", [("text", "text"), ("lang", "text"), ("n_chars", "int")])])
 
 
 def query(ctes: list[str], final: str) -> str:
@@ -284,13 +303,22 @@ DIFFERENT = (
     f"list_filter({PIECES.replace('text', 'text_j')}, lambda t: NOT list_contains({PIECES.replace('text', 'text_i')}, t)))"
 )
 SE = [
-    f"words AS (SELECT table_id, col_idx, text, {ONE_BYTE} AS plain, count(*) AS n, min(row_idx) AS r "
+    f"words AS MATERIALIZED (SELECT table_id, col_idx, text, {ONE_BYTE} AS plain, count(*) AS n, min(row_idx) AS r "
     "FROM texts GROUP BY ALL)",
-    "distances AS (SELECT a.table_id, a.col_idx, CAST(levenshtein(a.plain, b.plain) AS DOUBLE) AS d, a.r AS i, b.r AS j, "
-    "a.text AS text_i, b.text AS text_j, a.n AS n_i, b.n AS n_j FROM words a JOIN words b "
-    "ON a.table_id = b.table_id AND a.col_idx = b.col_idx AND a.r < b.r)",
-    "closest AS (SELECT * FROM distances QUALIFY row_number() OVER "
+    # Neighbours in the order of texts: without any one text, two of the three smallest of their
+    # distances lose a pair at most, so no distance that is asked for is above the third.
+    "beside AS (SELECT table_id, col_idx, levenshtein(plain, lag(plain) OVER (PARTITION BY table_id, col_idx "
+    "ORDER BY plain, r)) AS d FROM words)",
+    "bounds AS (SELECT table_id, col_idx, coalesce(list_sort(list(d) FILTER (d IS NOT NULL))[3], 2147483647) AS bound "
+    "FROM beside GROUP BY ALL)",
+    "distances AS MATERIALIZED (SELECT a.table_id, a.col_idx, CAST(levenshtein(a.plain, b.plain) AS DOUBLE) AS d, "
+    "a.r AS i, b.r AS j FROM words a JOIN words b ON a.table_id = b.table_id AND a.col_idx = b.col_idx AND a.r < b.r "
+    "JOIN bounds t ON t.table_id = a.table_id AND t.col_idx = a.col_idx WHERE levenshtein(a.plain, b.plain) <= bound)",
+    "first_pair AS (SELECT * FROM distances QUALIFY row_number() OVER "
     "(PARTITION BY table_id, col_idx ORDER BY d, i, j) = 1)",
+    "closest AS MATERIALIZED (SELECT p.*, a.text AS text_i, b.text AS text_j, a.n AS n_i, b.n AS n_j FROM first_pair p "
+    "JOIN words a ON a.table_id = p.table_id AND a.col_idx = p.col_idx AND a.r = p.i "
+    "JOIN words b ON b.table_id = p.table_id AND b.col_idx = p.col_idx AND b.r = p.j)",
     "left_i AS (SELECT c.table_id, c.col_idx, min(o.d) AS d_i FROM closest c JOIN distances o "
     "USING (table_id, col_idx) WHERE c.n_i > 1 OR (o.i <> c.i AND o.j <> c.i) GROUP BY ALL)",
     "left_j AS (SELECT c.table_id, c.col_idx, min(o.d) AS d_j FROM closest c JOIN distances o "

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import oracles as sql
-from tablewarden.functions.text import mean_difference_length
+from tablewarden.functions.text import file_stem, mean_difference_length
 from tablewarden.operators.profile import within_budget
 from tablewarden.operators.spelling import spelling_pairs
 from tablewarden.operators.tokens import (
@@ -24,13 +24,14 @@ from tablewarden.plans import detect, learn
 from tablewarden.plans.measures import Measured
 from tablewarden.plans.split import part_of, split_tables
 from tablewarden.session import stage
+from tablewarden.sources.files import scan_lake
 from tablewarden.sources.lake import Lake, lake_from_table, lake_from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TRAIN_SHARE = 0.8
 CUTS = {
-    "orders": ("o_custkey", ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderpriority"]),
+    "orders": ("o_custkey", ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
     "lineitem": (
         "l_suppkey",
         ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"],
@@ -42,11 +43,14 @@ CUTS = {
             "l_linestatus",
             "l_extendedprice",
             "l_discount",
+            "l_linenumber",
+            "l_tax",
+            "l_shipdate",
         ],
     ),
-    "events": ("user_id", ["event_id"], ["event_type", "value", "props"]),
+    "events": ("user_id", ["event_id"], ["event_type", "value", "props", "ts"]),
     "conversations": ("conv_id", ["turn"], ["text", "role"]),
-    "documents": ("source", ["doc_id"], ["text", "lang"]),
+    "documents": ("source", ["doc_id"], ["text", "lang", "n_chars"]),
 }
 WHOLE = {
     "region": (["r_regionkey"], ["r_regionkey", "r_name"]),
@@ -62,12 +66,30 @@ WHOLE = {
     ),
     "orders": (
         ["o_orderkey"],
-        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
+        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     ),
 }
+# Columns of the given tables.
+GIVEN_COLUMNS = {
+    "region": 2,
+    "nation": 3,
+    "customer": 5,
+    "supplier": 4,
+    "part": 6,
+    "orders": 6,
+    "lineitem": 11,
+    "events": 6,
+    "documents": 5,
+    "embeddings": 3,
+    "pages": 3,
+    "benchmark": 2,
+    "labels": 3,
+    "conversations": 4,
+}
 DIMENSIONS = ("region", "nation", "supplier", "customer", "part")
 SQL_LAKES = {
     "orders": sql.ORDERS,
+    "blanked": sql.BLANKED,
     "lineitem": sql.LINEITEM,
     "events": sql.EVENTS,
     "conversations": sql.CONVERSATIONS,
@@ -85,9 +107,22 @@ def lake(spark: SparkSession, sf_dir: str, name: str) -> Lake:
     if name in ("whole", "dimensions"):
         tables = WHOLE if name == "whole" else {t: WHOLE[t] for t in DIMENSIONS}
         return lake_from_tables({t: (read(spark, sf_dir, t), *rest) for t, rest in tables.items()})
+    if name == "blanked":
+        return lake_from_table(blanked(read(spark, sf_dir, "orders")), *CUTS["orders"])
     return lake_from_table(read(spark, sf_dir, name), *CUTS[name])
 
 
+def blanked(orders: DataFrame) -> DataFrame:
+    """Every 13th order without its price, every 13th without its priority."""
+    rest = F.col("o_orderkey") % 13
+    return orders.withColumns(
+        {
+            "o_totalprice": F.when(rest != 0, F.col("o_totalprice")),
+            "o_orderpriority": F.when(rest != 1, F.col("o_orderpriority")),
+        }
+    )
+
+
 def with_planted_errors(orders: DataFrame) -> DataFrame:
     """Every 97th order with a thousandfold price and a priority that lost a letter."""
     hit = F.col("o_orderkey") % 97 == 0
@@ -255,6 +290,20 @@ def catalog_query(lake_name: str) -> tuple[Query, str]:
     return run, text
 
 
+def scan_query() -> tuple[Query, str]:
+    """Sizes of all given tables, found and read as files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sizes = Measured(scan_lake(spark, sf_dir, "parquet").lake).catalog
+        return sizes.withColumn("table_id", file_stem(F.col("table_id")))
+
+    return run, " UNION ALL ".join(
+        f"SELECT '{name}' AS table_id, count(*) AS n_rows, CAST({n} AS BIGINT) AS n_cols, "
+        f"count(*) * {n} AS n_cells FROM {name}"
+        for name, n in GIVEN_COLUMNS.items()
+    )
+
+
 def budget_query(lake_name: str, n_cells_limit: int) -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return within_budget(Measured(lake(spark, sf_dir, lake_name)).catalog, n_cells_limit).select(
@@ -408,6 +457,7 @@ TRUTH_FIELDS = [
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     found: dict[str, tuple[Query, str | None]] = {
         "lake_catalog": catalog_query("orders"),
+        "scan_catalog": scan_query(),
         "lake_catalog_whole": catalog_query("whole"),
         "budget_filter": budget_query("whole", 7_000),
         "table_split": split_query("orders"),
@@ -437,8 +487,9 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         found[f"{kind}_model"] = model_query(kind, "orders")
         found[f"{kind}_findings"] = findings_query(kind, "orders")
         found[f"{kind}_measures_whole"] = measures_query(kind, "whole")
-    # All pairs of distinct prices are too many for SQL; tests compare with brute force instead.
-    found["se_measures_whole"] = (found["se_measures_whole"][0], None)
+        found[f"{kind}_measures_blanked"] = measures_query(kind, "blanked")
+    # All pairs of whole documents are too many for SQL; tests compare with brute force instead.
+    found["se_measures_documents"] = (measures_query("se", "documents")[0], None)
     found["se_measures_dimensions"] = measures_query("se", "dimensions")
     found["uv_measures_events"] = measures_query("uv", "events")
     found["uv_findings_events"] = findings_query("uv", "events")

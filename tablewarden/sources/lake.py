@@ -7,11 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.functions.text import base_type, cell_text
-from tablewarden.operators import ordered
 from tablewarden.operators.ordered import number_rows
 
+CELL_BYTES = 32
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -63,6 +65,19 @@ def typed_cells(df: DataFrame, names: list[str]) -> tuple[list[tuple[str, str]],
     return kinds, F.array(*[cell_text(F.col(n), fields[n]) for n in names])
 
 
+def _largest_table(df: DataFrame, keys: list[str]) -> int:
+    """Cells of the largest table, a text counting as its bytes over CELL_BYTES and one.
+
+    A plain window leaves a table in one task, so whether it may is a matter of bytes, not rows.
+    """
+    width = F.lit(len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            width += F.coalesce(F.floor(F.octet_length(field.name) / CELL_BYTES), F.lit(0))
+    tables = df.groupBy(*keys).agg(F.sum(width).alias("cells"))
+    return tables.agg(F.max("cells")).first()[0] or 0
+
+
 def lake_from_table(
     df: DataFrame, table_key: str, order_by: list[str], columns: list[str]
 ) -> Lake:
@@ -74,12 +89,11 @@ def lake_from_table(
         *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)],
         *columns,
     )
-    # A plain window leaves a table in one task, so its limit is in cells.
     numbered = number_rows(
         keyed,
         ["table_id"],
         [F.col(f"_order_{i}") for i in range(len(order_by))],
-        limit=ordered.GROUP_LIMIT // len(columns),
+        largest=_largest_table(keyed, ["table_id"]),
     )
     # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
     return Lake(
@@ -95,8 +109,9 @@ def lake_from_tables(
     lakes = []
     for name, (df, order_by, columns) in tables.items():
         kinds, cells = typed_cells(df, columns)
+        kept = df.select(*dict.fromkeys([*order_by, *columns]))
         numbered = number_rows(
-            df.select(*{*order_by, *columns}), [], [F.col(c) for c in order_by], largest=df.count()
+            kept, [], [F.col(c) for c in order_by], largest=_largest_table(kept, [])
         )
         named = F.lit(name).alias("table_id")
         meta = column_frame(df.sparkSession, kinds).select(named, "*")

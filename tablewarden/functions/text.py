@@ -87,6 +87,11 @@ def _rewritten(value: Column) -> Column:
     return F.get(F.transform(F.transform(F.array(value), shortest), written), F.lit(0))
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cell_text(column: Column, data_type: T.DataType) -> Column:
     """Canonical text of a typed value; NULL stays NULL."""
     if isinstance(data_type, T.DoubleType):

@@ -2,7 +2,8 @@
 
 A CSV file of any size is read in splits, by line; lines whose quotes are open at their end are put
 together with the next ones. Parquet files are mostly small, with a schema each, which no single
-reader schema fits: small ones are parsed one by one inside tasks, large ones read in splits.
+reader schema fits: small ones are parsed one by one inside tasks, large ones read in splits by one
+reader for each schema. Both ways give equal texts, types and rejects.
 """
 
 from __future__ import annotations
@@ -12,18 +13,23 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewarden.functions.text import float_text, number
+from tablewarden.functions.arrow_text import arrow_kind, arrow_texts, column_text
+from tablewarden.functions.text import base_type, cell_text, float_text, number, quoted
 from tablewarden.operators.joins import attach
 from tablewarden.operators.ordered import largest_group, number_rows, running_sums
 from tablewarden.operators.profile import profile, table_catalog
 from tablewarden.operators.values import value_dictionary
 from tablewarden.session import ship_package, stage
-from tablewarden.sources.lake import Lake, column_frame, typed_cells, union_lakes
+from tablewarden.sources.lake import Lake, column_frame, union_lakes
 
 SMALL_FILE_BYTES = 8 * 1024 * 1024
 
@@ -39,6 +45,10 @@ PARSED_SCHEMA = (
 )
 
 
+# Errors of files that are no Parquet files or have types that are not read.
+UNREADABLE = ("CANNOT_READ_FILE_FOOTER", "PARQUET_TYPE_ILLEGAL", "PARQUET_TYPE_NOT_SUPPORTED", "Illegal Parquet type")
+
+
 @dataclass(frozen=True)
 class Scan:
     """A lake read from files, and the files that could not be read."""
@@ -72,55 +82,63 @@ def first_tables(tables: DataFrame, n: int) -> DataFrame:
 # ---- small Parquet files ---------------------------------------------------------------------------------
 
 
-def _kind_of(series: pd.Series) -> str:
-    if pd.api.types.is_bool_dtype(series):
-        return "bool"
-    if pd.api.types.is_integer_dtype(series):
-        return "int64"
-    if pd.api.types.is_float_dtype(series):
-        return "float64"
-    return "object"
-
-
-def _texts(series: pd.Series) -> list[str | None]:
-    if pd.api.types.is_float_dtype(series):
-        series = series.where(series != 0, 0.0)  # zero without a sign
-    missing = series.isna()
-    return series.astype(str).astype(object).where(~missing, None).tolist()
+def _parse_files(zone: str, rows_at_once: int = 4096):
+    """Rows and columns of whole Parquet files, with the types that Spark gives them.
 
+    Names repeated but for case, and types that Spark cannot read, make a file one to reject, as
+    they do where Spark reads it.
+    """
 
-def _parse_files():
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = {"row_idx": None, "cells": None, "col_idx": None, "col_name": None, "base_type": None, "error": None}
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                known = {**empty, "table_id": path}
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    table = pd.read_parquet(io.BytesIO(content))
-                    columns = [
-                        {**known, "kind": "column", "col_idx": i, "col_name": str(name), "base_type": _kind_of(table[name])}
-                        for i, name in enumerate(table.columns)
-                    ]
-                    texts = [_texts(table.iloc[:, i]) for i in range(table.shape[1])]
-                    rows = [
-                        {**known, "kind": "row", "row_idx": r, "cells": list(cells)}
-                        for r, cells in enumerate(zip(*texts, strict=True))
-                    ]
-                    found = columns + rows
+                    file = pq.ParquetFile(pa.BufferReader(content))
+                    fields = list(file.schema_arrow)
+                    if len({f.name.lower() for f in fields}) < len(fields):
+                        raise ValueError("a column name is repeated")
+                    kinds = [arrow_kind(f.type) for f in fields]
+                    found = [_parsed(path, "column", len(fields), {
+                        "col_idx": pa.array(range(len(fields)), pa.int32()),
+                        "col_name": pa.array([f.name for f in fields], pa.string()),
+                        "base_type": pa.array(kinds, pa.string()),
+                    })]
+                    start = 0
+                    for part in file.iter_batches(rows_at_once):
+                        cells = _rows_of([arrow_texts(c, zone) for c in part.columns], part.num_rows)
+                        numbers = pa.array(range(start, start + part.num_rows), pa.int64())
+                        found.append(_parsed(path, "row", part.num_rows, {"row_idx": numbers, "cells": cells}))
+                        start += part.num_rows
                 except Exception as problem:  # any broken file is reported, none stops the scan
-                    found = [{**known, "kind": "error", "error": f"{type(problem).__name__}: {problem}"}]
-                names = ["kind", "table_id", *empty]
-                yield pd.DataFrame(found, columns=names).astype(
-                    {"row_idx": "Int64", "col_idx": "Int32"}
-                )
+                    error = pa.array([f"{type(problem).__name__}: {problem}"])
+                    found = [_parsed(path, "error", 1, {"error": error})]
+                yield from found
 
     return parse
 
 
+def _rows_of(columns: list[pa.Array], n: int) -> pa.ListArray:
+    """A list of cells per row, from the columns' texts."""
+    width = len(columns)
+    order = np.arange(n * width).reshape(width, n).T.reshape(-1)
+    flat = pa.concat_arrays(columns).take(pa.array(order)) if width else pa.array([], pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat)
+
+
+def _parsed(path: str, kind: str, n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
+    types = {"row_idx": pa.int64(), "cells": pa.list_(pa.string()), "col_idx": pa.int32(),
+             "col_name": pa.string(), "base_type": pa.string(), "error": pa.string()}
+    rest = [given[name] if name in given else pa.nulls(n, kind_) for name, kind_ in types.items()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * n, pa.string()), pa.array([path] * n, pa.string()), *rest], ["kind", "table_id", *types]
+    )
+
+
 def _scan_small(spark: SparkSession, root: str, limit: int) -> Scan:
     files = _binary(spark, root, "parquet").filter(F.col("length") <= limit)
     files = files.select(F.col("_metadata.file_path").alias("path"), "content")
-    parsed = stage(files.mapInPandas(_parse_files(), PARSED_SCHEMA), "parsed")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    parsed = stage(files.mapInArrow(_parse_files(zone), PARSED_SCHEMA), "parsed")
     return Scan(
         Lake(
             parsed.filter("kind = 'row'").select("table_id", "row_idx", "cells"),
@@ -272,14 +290,45 @@ def retyped(lake: Lake) -> Lake:
 
 def parquet_table(spark: SparkSession, path: str, table_id: str | None = None) -> Lake:
     """One Parquet file of any size as one table, rows in file order."""
-    df = spark.read.parquet(path)
-    names = df.columns
-    kinds, cells = typed_cells(df, names)
-    name = F.lit(table_id or path)
-    rows = df.select(
-        name.alias("table_id"), F.col("_metadata.row_index").alias("row_idx"), cells.alias("cells")
-    )
-    return Lake(rows, column_frame(spark, kinds).select(name.alias("table_id"), "*"))
+    return _one_schema(spark.read.parquet(path), F.lit(table_id or path), [table_id or path])
+
+
+def _one_schema(df: DataFrame, name: Column, table_ids: list[str]) -> Lake:
+    """Tables that share a schema, read by one reader."""
+    spark = df.sparkSession
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    # Types whose texts would depend on the version of Java or on Spark's options for JSON.
+    by_arrow = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.FloatType)
+    kinds = [(f.name, base_type(f.dataType)) for f in df.schema.fields]
+    cells = F.array(*[
+        column_text(quoted(f.name), zone) if isinstance(f.dataType, by_arrow) else cell_text(quoted(f.name), f.dataType)
+        for f in df.schema.fields
+    ])
+    rows = df.select(name.alias("table_id"), F.col("_metadata.row_index").alias("row_idx"), cells.alias("cells"))
+    tables = spark.createDataFrame([(t,) for t in table_ids], "table_id string")
+    return Lake(rows, tables.crossJoin(F.broadcast(column_frame(spark, kinds))))
+
+
+def _scan_large(spark: SparkSession, paths: list[str]) -> tuple[list[Lake], list[tuple[str, str]]]:
+    """Lakes of the files, one for each schema among them, and (path, error) of files Spark cannot read."""
+    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
+    rejected = []
+    for path in paths:
+        try:
+            schema = spark.read.parquet(path).schema
+        except AnalysisException as problem:
+            rejected.append((path, str(problem).split("\n")[0]))
+            continue
+        except Py4JJavaError as problem:
+            unread = [c for c in UNREADABLE if c in str(problem)]
+            if not unread:
+                raise
+            rejected.append((path, unread[0]))
+            continue
+        by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
+    file = F.col("_metadata.file_path")
+    lakes = [_one_schema(spark.read.schema(schema).parquet(*own), file, own) for schema, own in by_schema.values()]
+    return lakes, rejected
 
 
 # ---- lakes ---------------------------------------------------------------------------------------
@@ -306,8 +355,9 @@ def scan_lake(
     ]
     if not large:
         return small
-    parts = [parquet_table(spark, path) for path in large]
-    return Scan(union_lakes(small.lake, *parts), small.rejected)
+    lakes, rejected = _scan_large(spark, large)
+    more = spark.createDataFrame(rejected, "path string, error string")
+    return Scan(union_lakes(small.lake, *lakes), small.rejected.union(more))
 
 
 @dataclass(frozen=True)

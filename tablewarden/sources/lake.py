@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewarden.functions.text import base_type, cell_text
+from tablewarden.functions.text import base_type, cell_text, quoted
 from tablewarden.operators.ordered import number_rows
 
 CELL_BYTES = 32
@@ -62,7 +62,7 @@ def column_frame(spark: SparkSession, columns: list[tuple[str, str]]) -> DataFra
 def typed_cells(df: DataFrame, names: list[str]) -> tuple[list[tuple[str, str]], Column]:
     fields = {f.name: f.dataType for f in df.schema.fields}
     kinds = [(n, base_type(fields[n])) for n in names]
-    return kinds, F.array(*[cell_text(F.col(n), fields[n]) for n in names])
+    return kinds, F.array(*[cell_text(quoted(n), fields[n]) for n in names])
 
 
 def _largest_table(df: DataFrame, keys: list[str]) -> int:

@@ -1,4 +1,8 @@
-import pandas as pd
+from datetime import date, datetime
+from decimal import Decimal
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,15 +89,72 @@ def test_broken_files_are_reported(spark, tmp_path):
     assert listed.count() == 2 and first_tables(listed, 1).first().path.endswith("bad.csv")
 
 
+FORMS = {
+    "s": pa.array(["a", None, "é b"]),
+    "x": pa.array([1e7, float("nan"), -0.0]),
+    "tiny": pa.array([1e-5, 1e16, 123456.789]),
+    "single": pa.array([0.1, None, 1e16], pa.float32()),
+    "b": pa.array([True, None, False]),
+    "n": pa.array([3, None, -(2**63)], pa.int64()),
+    "small": pa.array([1, None, 255], pa.uint8()),
+    "wide": pa.array([1, None, 2**40], pa.uint64()),
+    "d": pa.array([Decimal("1.50"), None, Decimal("-0.00")], pa.decimal128(9, 2)),
+    "day": pa.array([date(2020, 2, 29), None, date(1969, 1, 1)]),
+    "at": pa.array([datetime(2020, 1, 2, 3, 4, 5), None, datetime(2021, 7, 1, 0, 0, 0, 120_000)], pa.timestamp("us", "UTC")),
+    "local": pa.array([datetime(2020, 1, 2, 3, 4, 5), None, datetime(1999, 12, 31, 23, 59, 59, 1_000)], pa.timestamp("ms")),
+    "list": pa.array([[1, 2], None, []], pa.list_(pa.int32())),
+    "floats": pa.array([[0.1, None], [1e7], None], pa.list_(pa.float32())),
+    "part": pa.array([{"p": 1, "q": "x"}, None, {"p": None, "q": 'say "é"'}]),
+    "bytes": pa.array([b"ab", None, b"\xff"]),
+    "kind": pa.array(["k", None, "k"]).dictionary_encode(),
+    "a.b`c": pa.array([1, 2, 3]),
+}
+
+
 @pytest.mark.parametrize("small_file_bytes", [100_000, 1])
 def test_parquet_small_and_large(spark, tmp_path, small_file_bytes):
-    frame = pd.DataFrame({"s": ["a", None], "x": [1e7, 2.5], "b": [True, False], "n": [3, 4]})
-    frame.to_parquet(tmp_path / "t.parquet")
-    lake = scan_lake(spark, str(tmp_path), "parquet", small_file_bytes).lake
-    _, rows = cells_of(lake)
-    assert rows == [(0, ["a", "10000000.0", "True", "3"]), (1, [None, "2.5", "False", "4"])]
-    kinds = [r.base_type for r in lake.columns.orderBy("col_idx").collect()]
-    assert kinds == ["object", "float64", "bool", "int64"]
+    """Every form of value, in both ways of reading, and files that neither reads."""
+    pq.write_table(pa.table(FORMS), tmp_path / "t.parquet")
+    pq.write_table(pa.table({"a": [1], "b": ["x"]}), tmp_path / "u.parquet")
+    pq.write_table(pa.table({"a": [2, 3], "b": ["y", "z"]}), tmp_path / "v.parquet")
+    pq.write_table(pa.table([[1], [2]], names=["a", "A"]), tmp_path / "twice.parquet")
+    pq.write_table(pa.table({"t": pa.array([1], pa.timestamp("ns"))}), tmp_path / "nanos.parquet")
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no table PAR1")
+    scan = scan_lake(spark, str(tmp_path), "parquet", small_file_bytes)
+    found = {}
+    for r in scan.lake.rows.orderBy("row_idx").collect():
+        found.setdefault(r.table_id.rsplit("/", 1)[-1], []).append(list(r.cells))
+    assert found.pop("u.parquet") == [["1", "x"]] and found.pop("v.parquet") == [["2", "y"], ["3", "z"]]
+    texts = dict(zip(FORMS, zip(*found.pop("t.parquet"), strict=True), strict=True))
+    assert not found
+    assert texts == {
+        "s": ("a", None, "é b"),
+        "x": ("10000000.0", None, "0.0"),
+        "tiny": ("1e-05", "1e+16", "123456.789"),
+        "single": ("0.1", None, "1e+16"),
+        "b": ("True", None, "False"),
+        "n": ("3", None, "-9223372036854775808"),
+        "small": ("1", None, "255"),
+        "wide": ("1.0", None, "1099511627776.0"),
+        "d": ("1.5", None, "0.0"),
+        "day": ("2020-02-29", None, "1969-01-01"),
+        "at": ("2020-01-02 03:04:05", None, "2021-07-01 00:00:00.12"),
+        "local": ("2020-01-02 03:04:05", None, "1999-12-31 23:59:59.001"),
+        "list": ("[1,2]", None, "[]"),
+        "floats": ("[0.1,null]", "[10000000.0]", None),
+        "part": ('{"p":1,"q":"x"}', None, '{"p":null,"q":"say \\"é\\""}'),
+        "bytes": ("ab", None, "\ufffd"),
+        "kind": ("k", None, "k"),
+        "a.b`c": ("1", "2", "3"),
+    }
+    columns = scan.lake.columns.filter("table_id LIKE '%/t.parquet'").orderBy("col_idx").collect()
+    assert [r.col_name for r in columns] == list(FORMS)
+    assert [r.base_type for r in columns] == [
+        "object", "float64", "float64", "float64", "bool", "int64", "int64", "float64", "float64",
+        *["object"] * 8, "int64",
+    ]
+    rejected = {r.path.rsplit("/", 1)[-1] for r in scan.rejected.collect()}
+    assert rejected == {"twice.parquet", "nanos.parquet", "broken.parquet"}
 
 
 def test_aggregated_lake_and_truth(spark, tmp_path):

@@ -52,9 +52,10 @@ def column_pairs(features: DataFrame) -> DataFrame:
     )
 
 
-def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
+def violations(lake: Lake, pairs: DataFrame, values: DataFrame, largest: int) -> DataFrame:
     """(pair key, violated, code) of the pairs with a violation.
 
+    `values` is the lake's value dictionary: a determinant that occurs once makes no pair rows.
     violated counts the determinant values with several dependent values. code is 2 * row + 1 if
     dropping that row repairs its determinant value and 2 * row if not, for the first violating row.
     """
@@ -75,11 +76,18 @@ def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
             ),
         ).alias("cells"),
     )
-    rows = attach(hashed, wanted, ["table_id"], F.col("row_idx"), "n_rows", largest)
+    # Columns of each row whose text occurs in that row alone, spread by table and row.
+    lone = (
+        values.filter(F.col("n") - F.col("n_missing") == 1)
+        .groupBy("table_id", F.col("first_present").alias("row_idx"))
+        .agg(F.collect_list("col_idx").alias("lone"))
+    )
+    marked = hashed.join(lone, ["table_id", "row_idx"], "left")
+    rows = attach(marked, wanted, ["table_id"], F.col("row_idx"), "n_rows", largest)
     one, two = F.col("one"), F.get("cells", F.col("col_2_idx"))
     cells = (
         rows.withColumn("one", F.get("cells", F.col("col_1_idx")))
-        .filter(one.isNotNull())
+        .filter(one.isNotNull() & ~F.coalesce(F.array_contains("lone", F.col("col_1_idx")), F.lit(False)))
         .select("table_id", "col_1_idx", "row_idx", "cells", "one", F.explode("others").alias("col_2_idx"))
         .select(
             *PAIR_KEY,
@@ -116,14 +124,14 @@ def violations(lake: Lake, pairs: DataFrame, largest: int) -> DataFrame:
     )
 
 
-def dependency_measures(lake: Lake, features: DataFrame, largest: int) -> DataFrame:
+def dependency_measures(lake: Lake, features: DataFrame, values: DataFrame, largest: int) -> DataFrame:
     """One row per column pair: features of both, fd, fd_p and suspect_row.
 
     `largest` is the largest number of pair cells (rows times column pairs) of a table. Where every determinant value is violated
     both ratios are -1 and there is no suspect.
     """
     pairs = column_pairs(features)
-    found = pairs.join(violations(lake, pairs, largest), PAIR_KEY, "left")
+    found = pairs.join(violations(lake, pairs, values, largest), PAIR_KEY, "left")
     good = F.col("n_distinct") - F.coalesce("violated", F.lit(0))
     none = F.col("good") == 0
     fd = F.col("good") / F.col("n_present")

@@ -112,7 +112,7 @@ class Measured:
 
     def fd(self) -> DataFrame:
         """Compliance of every column pair: features, fd, fd_p and suspect_row."""
-        measures = dependency_measures(self.lake, self.features, self.sizes.n_pairs)
+        measures = dependency_measures(self.lake, self.features, self.values, self.sizes.n_pairs)
         return measures.withColumns(
             {"left_ness_1": F.col("col_1_idx"), "left_ness_2": F.col("col_2_idx")}
         )

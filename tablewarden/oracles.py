@@ -6,6 +6,7 @@ suspect row, and likelihood counts compare every candidate with every training r
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -400,6 +401,34 @@ def scored_cte(kind: str, where: str = "true") -> str:
     )
 
 
+# What the options of the measures change: the mean prevalence of a column, and buckets taken twice.
+_SUM, _LENGTH = "round(coalesce(sum(p), 0), 6)", "list_avg(list_transform(diff, lambda t: length(t)))"
+
+
+def with_options(ctes: list[str]) -> list[str]:
+    """Steps of the measures with mean prevalences and double buckets."""
+    twice = _range(f"({_range(_LENGTH, LENGTHS)})", LENGTHS)
+    return [
+        c.replace(_SUM, f"round({_SUM} / count(*), 6)").replace(_range(_LENGTH, LENGTHS), twice) for c in ctes
+    ]
+
+
+def prefixed(ctes: list[str], prefix: str) -> list[str]:
+    """The same steps under other names, so that two lakes fit into one query."""
+    names = "|".join(sorted((re.escape(c.split(" AS ", 1)[0]) for c in ctes), key=len, reverse=True))
+    uses = re.compile(rf"(?:(?<=FROM )|(?<=JOIN ))({names})\b|^({names})(?= AS )|\b({names})(?=\.)")
+    return [uses.sub(lambda m: prefix + m.group(0), c) for c in ctes]
+
+
+def other_lake(kind: str, learnt: SqlLake, lake: SqlLake) -> list[str]:
+    """Candidates of all of `lake`, scored by a model of all of `learnt` and with that one's tokens."""
+    model = model_cte(kind).replace(IS_TRAIN, "true")
+    steps = with_options(MEASURES[kind])
+    own = [c.replace("LEFT JOIN lake_tokens", "LEFT JOIN learnt_lake_tokens") for c in steps]
+    scored = scored_cte(kind).replace(IS_TEST, "true").replace(f"JOIN {kind}_model", f"JOIN learnt_{kind}_model")
+    return [*prefixed([*learnt.ctes(), *steps, model], "learnt_"), *lake.ctes(), *own, scored]
+
+
 NAMES = {"uv": "uniqueness", "no": "no", "se": "spelling"}
 
 

@@ -231,6 +231,26 @@ def findings_query(kind: str, lake_name: str) -> tuple[Query, str]:
     return run, text
 
 
+def other_lake_query(kind: str) -> tuple[Query, str]:
+    """Learn on the clean orders, with mean prevalences and double buckets; detect in planted errors
+    with the tokens of the lake that was learnt."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = {"prevalence_mode": "mean", "double_bucket": True}
+        learnt = Measured(lake(spark, sf_dir, "orders"), **options)
+        dirty = lake_from_table(with_planted_errors(read(spark, sf_dir, "orders")), *CUTS["orders"])
+        tokens = stage(merged_tokens(learnt.table_tokens), "tokens") if kind in ("uv", "fd") else None
+        measured = Measured(dirty, tokens, **options)
+        model = stage(LEARN[kind](getattr(learnt, kind)()), f"{kind}_model")
+        return DETECT[kind](stage(getattr(measured, kind)(), f"{kind}_measures"), model, dirty)
+
+    planted = sql.SqlLake([(DIRTY_SOURCE, *sql.ORDERS.tables[0][1:])])
+    text = sql.query(
+        sql.other_lake(kind, sql.ORDERS, planted), sql.pair_findings() if kind == "fd" else sql.cell_findings(kind)
+    )
+    return run, text
+
+
 # ---- single queries ------------------------------------------------------------------------------
 
 PROFILE_FIELDS = [
@@ -486,6 +506,7 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
         found[f"{kind}_measures"] = measures_query(kind, "orders")
         found[f"{kind}_model"] = model_query(kind, "orders")
         found[f"{kind}_findings"] = findings_query(kind, "orders")
+        found[f"{kind}_findings_other_lake"] = other_lake_query(kind)
         found[f"{kind}_measures_whole"] = measures_query(kind, "whole")
         found[f"{kind}_measures_blanked"] = measures_query(kind, "blanked")
     # All pairs of whole documents are too many for SQL; tests compare with brute force instead.

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,25 @@ def stage_dir(spark: SparkSession) -> str:
     return made
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owned_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the stage tables written inside it.
+
+    Results that are not written or collected by then can no longer be read. Blocks may be nested;
+    outside any block stage tables are left to the folder's retention rules.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a stage table and read it back.
 
@@ -64,5 +85,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -50,3 +51,17 @@ def test_group_totals(spark, wide):
     totals = {k: sum(r[2] for r in rows if r[0] == k) for k in "ab"}
     assert found.count() == 101
     assert all(r.t == totals[r.k] for r in found.collect())
+
+
+def test_owned_stages_are_deleted(spark):
+    from tablewarden.session import owned_stages, stage
+
+    kept = stage(spark.range(3), "kept")
+    with owned_stages(spark):
+        outer = stage(spark.range(5), "outer")
+        with owned_stages(spark):
+            inner = stage(spark.range(7), "inner")
+            assert inner.count() == 7
+        folders = [os.path.dirname(df.inputFiles()[0][len("file:") :].replace("//", "/")) for df in (outer, inner)]
+        assert outer.count() == 5 and [os.path.isdir(f) for f in folders] == [True, False]
+    assert kept.count() == 3 and not os.path.isdir(folders[0])

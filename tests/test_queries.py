@@ -16,6 +16,9 @@ CHECKED = [
     "token_stats",
     "uv_findings_events",
     "truth_check",
+    "uv_findings_other_lake",
+    "fd_findings_other_lake",
+    "scan_catalog",
     "fd_measures_whole",
     "no_measures_whole",
     "se_measures_dimensions",

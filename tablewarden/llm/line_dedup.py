@@ -50,9 +50,11 @@ def _line_rows(edits: int, least_chars: int):
                 if not len(codes):
                     continue
                 docs = np.searchsorted(starts, np.flatnonzero(codes == 10), side="right") - 1
-                ends = np.sort(np.concatenate([np.flatnonzero(codes == 10), starts[1:]]))
+                ends = np.concatenate([np.flatnonzero(codes == 10), starts[1:]])
                 owner = np.concatenate([docs, np.arange(high - low)])
-                owner = owner[np.argsort(np.concatenate([np.flatnonzero(codes == 10), starts[1:]]), kind="stable")]
+                # A text's end is the place of a line break that begins the next text: order by text first.
+                order = np.lexsort((ends, owner))
+                ends, owner = ends[order], owner[order]
                 first = np.concatenate([[True], owner[1:] != owner[:-1]])
                 begins = np.where(first, starts[owner], np.concatenate([[0], ends[:-1] + 1]))
                 number = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))

@@ -80,6 +80,19 @@ def test_line_dedup_of_lines_full_of_near_ones(spark, monkeypatch, limit):
     assert found == {i: e for (i, _), e in zip(rows, expected)}
 
 
+def test_line_dedup_of_texts_that_begin_with_line_breaks(spark):
+    lines = [f"line number {w} of the texts of this test" for w in ("one", "two", "three", "four")]
+    a, b, c, d = lines
+    texts = [f"{a}\n{b}", f"\n{b}\n{c}", "", f"\n\n{c}\n{d}", "\n", f"\n{d}\n{a}\n", f"{b}\n\n", f"\n{c}s"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = brute.line_dedup(rows, hashes(df))
+    assert dict(rows_of(line_dedup.dedup_lines(df), "doc_id", "text")) == {i: e for (i, _), e in zip(rows, expected)}
+    table = line_dedup.line_table(df, 1, 20)
+    inked = Counter((i, n) for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip())
+    assert Counter(rows_of(table, "_id", "line")) == inked
+
+
 def test_exact_line_dedup(documents):
     rows = rows_of(documents, "doc_id", "text")
     expected = brute.line_dedup(rows, hashes(documents), edits=0)

@@ -205,7 +205,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: int | N
     of them stays.
     """
     rows = fingerprinted(docs, shingle)
-    groups = simhash_groups(rows, shingle, bits, blocks)
+    return first_rows(docs, rows, simhash_groups(rows, shingle, bits, blocks))
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """What keep_first keeps of `docs`: `rows` are (_id, _fp, _text_hash) of them, `groups` (fp, root)."""
     order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_text_hash")
     firsts = (
         rows.join(groups, rows._fp == groups.fp)

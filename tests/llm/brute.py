@@ -52,6 +52,23 @@ def simhash_groups(rows, shingle=3, bits=3):
     return [(p, least[sets.root(p)]) for p in prints]
 
 
+def shingles(text, width=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def near_groups(rows, width=5):
+    """Smallest row number of the group of each (id, text), by the similarity of all pairs."""
+    grams = [shingles(t, width) for _, t in rows]
+    sets = Sets()
+    for i, a in enumerate(grams):
+        sets.root(i)
+        for j, b in enumerate(grams[:i]):
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                sets.tie(i, j)
+    return [sets.root(i) for i in range(len(rows))]
+
+
 def counts(text):
     text = text or ""
     words = WORD.findall(text)

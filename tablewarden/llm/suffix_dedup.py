@@ -297,6 +297,27 @@ def _deal_large(length: int, gram: int):
     return rows
 
 
+def _single_windows(pieces_: DataFrame, length: int) -> DataFrame:
+    """Spans of the windows of `pieces_` that also start earlier: windows meet by their bytes.
+
+    Equal windows have equal anchors and parts, so none has an equal one in another bucket. The
+    earliest of each is an aggregate, so a bucket may be of any size.
+    """
+    each = pieces_.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("number").cast("int") - 1)))
+    start = F.col("start") + F.col("w")
+    windows = stage(
+        each.select(
+            F.substring("text", F.col("w") + 1, F.lit(length)).alias("window"),
+            F.struct(F.col("_id").isNull().alias("last"), "_id", "_hash", start.alias("start")).alias("o"),
+        ),
+        "windows",
+    )
+    firsts = windows.groupBy("window").agg(F.min("o").alias("first"), F.max("o").alias("end"))
+    firsts = stage(firsts.where("first != end").select("window", "first"), "firsts")
+    later = windows.join(firsts, "window").where("o != first")
+    return later.select("o._id", "o._hash", F.col("o.start").alias("low"), (F.col("o.start") + length).alias("high"))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -422,7 +443,14 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataF
     settled = settled.union(
         dealt.where("gone").select("_id", "_hash", F.col("start").alias("low"), (F.col("start") + F.col("number") + (length - 1)).alias("high"))
     )
-    blocks = usual.union(dealt.where("NOT gone").drop("gone")).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    left = dealt.where("NOT gone").drop("gone")
+    still = stage(
+        left.groupBy("anchor", "part").agg(F.sum("number").alias("n")).where(F.col("n") > BUCKET).drop("n"), "still"
+    )
+    if not still.isEmpty():
+        settled = settled.union(_single_windows(left.join(still, ["anchor", "part"], "left_semi"), length))
+        left = left.join(still, ["anchor", "part"], "left_anti")
+    blocks = usual.union(left).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     sorted_ = blocks.mapInArrow(_sort_blocks(length), f"_id {kind}, _hash long, low long, high long")
     return settled.union(sorted_)
 

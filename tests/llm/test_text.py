@@ -132,6 +132,41 @@ def test_substrings_of_few_letters(spark, monkeypatch, small):
         assert sorted(found) == sorted((i, *e) for (i, _), e in zip(rows, expected))
 
 
+def test_substrings_never_sort_a_large_bucket(spark, monkeypatch):
+    """A passage of many texts that differ just before it: pieces share their core but are not equal."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    sort_blocks = suffix_dedup._sort_blocks
+
+    def bounded(length):
+        run = sort_blocks(length)
+
+        def rows(batches):
+            seen = {}
+
+            def watched():
+                for batch in batches:
+                    for a, p, n in zip(*(batch.column(k).to_pylist() for k in (0, 1, 5))):
+                        seen[a, p] = seen.get((a, p), 0) + n
+                        assert seen[a, p] <= 40, "a large bucket came whole to one task"
+                    yield batch
+
+            return run(watched())
+
+        return rows
+
+    monkeypatch.setattr(suffix_dedup, "_sort_blocks", bounded)
+    draw = np.random.default_rng(9)
+    word = lambda n: "".join(draw.choice(list("abcdefghij"), n))
+    passage = word(160)
+    rows = [(k, word(draw.integers(0, 30)) + passage + word(draw.integers(0, 30))) for k in range(200)]
+    rows += [(None, "x" + passage), (None, None), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute.substrings(rows, hashes(df), 100)
+    found = suffix_dedup.dedup_substrings(df)
+    found = rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(found) == Counter((i, *e) for (i, _), e in zip(rows, expected))
+
+
 def test_quality_counts(documents, labels):
     rows = rows_of(documents, "doc_id", "text")
     trees = quality_trees.learn(documents, labels)

@@ -67,7 +67,7 @@ def _line_rows(edits: int, least_chars: int):
                 h1 = mix(one.of(begins, ends) + size)
                 h2 = mix(two.of(begins, ends) ^ size)
                 keys = _part_keys(one, begins, ends) if edits else np.zeros((len(begins), 0), np.uint64)
-                long = ends - begins >= max(2, least_chars)
+                long = ends - begins >= max(1, least_chars)
                 offsets = np.concatenate([[0], np.cumsum(np.where(long, keys.shape[1], 0))]).astype(np.int32)
                 at = pa.array(owner + low)
                 yield pa.RecordBatch.from_arrays(

@@ -64,7 +64,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_chars=1)
     return done.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
         F.sha2("text", 256).alias("kept_sha256"),

@@ -1,5 +1,6 @@
 """Operators on whole texts against brute force."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,20 @@ def test_line_dedup_of_texts_that_begin_with_line_breaks(spark):
     assert Counter(rows_of(table, "_id", "line")) == inked
 
 
+def test_line_dedup_query_joins_short_lines(spark, tmp_path):
+    """Lines of one letter and more, one edit apart, through the registered query."""
+    from tablewarden.llm import queries
+
+    lines = ["a", "b", "ab", "xyz", "xyzw", "yz", "\U0001f600", "a b", "short", "shore", "nineteen characters", "nineteen characters."]
+    draw = np.random.default_rng(4)
+    rows = [(k, "\n".join(draw.choice(lines, 3))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = brute.line_dedup(rows, hashes(df), least=1)
+    found = rows_of(queries.op7_line_dedup(spark, str(tmp_path)), "doc_id", "kept_sha256")
+    assert Counter(found) == Counter((i, hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(rows, expected))
+
+
 def test_exact_line_dedup(documents):
     rows = rows_of(documents, "doc_id", "text")
     expected = brute.line_dedup(rows, hashes(documents), edits=0)

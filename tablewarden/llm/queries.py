@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tablewarden.llm import (
     embedding_dedup,
     factor_quality,
+    hard_negatives,
     line_dedup,
     mixing,
     packing,
+    personal_data,
     quality_trees,
     sharding,
     simhash,
     suffix_dedup,
+    target_resampling,
     token_matrix,
 )
 from tablewarden.llm.common import table
@@ -87,6 +90,26 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal(table(spark, sf_dir, "documents"))
+    counts = [personal_data.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    written = personal_data.written
+    return found.select(
+        "doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+    )
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return target_resampling.resample(docs, target, percent=10, most=1, buckets=10_000, least_words=20, seed=2024)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, label = F.col("vec_id"), F.col("label")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_negatives(vectors, id_ % 100 == 0, positives=5, negatives=5, least=80, scale=256)
+
+
 OP1_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 good AS (
@@ -161,11 +184,87 @@ FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))
 JOIN fill ON fill.slot = d.slot
 """
 
+# CRC-32 from its polynomial: eight steps for each of the 256 bytes, then byte by byte over each distinct word.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+),
+steps AS MATERIALIZED (SELECT list(v ORDER BY i) AS step FROM bits WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+found AS (
+  SELECT row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM (
+    SELECT row, text FROM docs UNION ALL SELECT NULL, text FROM benchmark)
+),
+words AS MATERIALIZED (SELECT row, word, count(*) AS n FROM found GROUP BY ALL),
+kinds AS MATERIALIZED (SELECT DISTINCT word, hex(encode(word)) AS h FROM words),
+hashed AS MATERIALIZED (
+  SELECT word, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda j: ('0x' || substr(h, (2 * j + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM kinds, steps
+),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (row IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (row IS NULL), 0) AS t
+  FROM words JOIN hashed USING (word) GROUP BY bucket
+),
+totals AS (SELECT coalesce(sum(s), 0) AS big_s, coalesce(sum(t), 0) AS big_t FROM counts),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (big_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts, totals
+),
+weighed AS (
+  SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+  FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE row IS NOT NULL GROUP BY row
+),
+scored AS (
+  SELECT row, doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE
+      / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (row)
+),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (row)
+"""
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 
 def op_queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    sql = {"op1_embedding_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_sharding": OP6_SQL}
+    sql = {
+        "op1_embedding_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_sharding": OP6_SQL,
+        "op12_target_resampling": OP12_SQL, "op13_hard_negatives": OP13_SQL,
+    }
     runs = [
         op1_embedding_dedup, op2_factor_quality, op3_simhash, op4_best_fit, op5_mixing, op6_sharding,
         op7_line_dedup, op8_token_matrix, op9_suffix_dedup, op10_quality_trees,
+        op11_personal_data, op12_target_resampling, op13_hard_negatives,
     ]
     return {run.__name__: (run, sql.get(run.__name__)) for run in runs}

@@ -14,6 +14,8 @@ NUMERIC_TEXT_PATTERN = r"^\p{N}+\z"
 INTEGER_PATTERN = r"^[+-]?[0-9]+\z"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^[+-]?(inf|Infinity)\z"
 BOOLEAN_PATTERN = r"^(True|False|TRUE|FALSE|true|false)\z"
+# One range: a text of visible ASCII characters alone is seen to be one word in a fraction of the time.
+VISIBLE_PATTERN = r"^[!-~]+\z"
 # All Unicode whitespace, and the four information separators.
 WHITESPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -32,7 +34,12 @@ def tokens(text: Column) -> Column:
     """Pieces between runs of Unicode whitespace, without empty ones."""
     pieces = F.filter(F.split(text, WHITESPACE_CLASS + "+"), lambda t: t != "")
     # Most cells are one word.
-    return F.when(text.rlike(WHITESPACE_CLASS) | (text == ""), pieces).otherwise(F.array(text))
+    return F.when(is_one_token(text), F.array(text)).otherwise(pieces)
+
+
+def is_one_token(text: Column) -> Column:
+    """Not empty and without whitespace."""
+    return text.rlike(VISIBLE_PATTERN) | (~text.rlike(WHITESPACE_CLASS) & (text != ""))
 
 
 def number(text: Column) -> Column:

@@ -25,7 +25,7 @@ def numeric_values(lake: Lake, values: DataFrame) -> DataFrame:
     """(key, log, x, n, row) of the numbers of possibly numeric columns, raw and as logarithms."""
     if lake.uniform:
         numeric = lake.columns.filter(
-            F.col("base_type").isNull() | F.col("base_type").isin("int64", "float64")
+            F.col("base_type").isin("int64", "float64")
         ).select("col_idx")
         values = values.join(F.broadcast(numeric), "col_idx", "left_semi")
     x = number(F.col("text"))

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.buckets import rows_range
-from tablewarden.functions.text import (
-    BOOLEAN_PATTERN,
-    INTEGER_PATTERN,
-    NUMBER_PATTERN,
-    is_alnum,
-    is_numeric_text,
-)
+from tablewarden.functions.text import is_alnum, is_numeric_text
 from tablewarden.sources.lake import Lake
 
 COLUMN_KEY = ["table_id", "col_idx"]
 
 
-def _inferred_type() -> Column:
-    whole = F.col("n_missing") == 0
-    return (
-        F.when(F.col("n_present") == 0, "float64")
-        .when(F.col("_integers") & whole, "int64")
-        .when(F.col("_numbers"), "float64")
-        .when(F.col("_booleans") & whole, "bool")
-        .otherwise("object")
-    )
-
-
 def profile(lake: Lake, values: DataFrame) -> DataFrame:
     """One row per column.
 
@@ -43,9 +26,6 @@ def profile(lake: Lake, values: DataFrame) -> DataFrame:
     present = F.col("n") - F.col("n_missing")
     real = present > 0
 
-    def all_match(pattern: str) -> Column:
-        return F.coalesce(F.bool_and(F.when(real, F.col("text").rlike(pattern))), F.lit(False))
-
     found = values.groupBy(*COLUMN_KEY).agg(
         F.sum("n").alias("n_rows"),
         F.sum("n_missing").alias("n_missing"),
@@ -53,15 +33,10 @@ def profile(lake: Lake, values: DataFrame) -> DataFrame:
         F.count_if(real).alias("n_distinct"),
         F.count(F.lit(1)).alias("n_texts"),
         F.bool_and(is_alnum(F.col("text"))).alias("alnum"),
-        F.bool_and(is_numeric_text(F.col("text"))).alias("numeric_text"),
-        all_match(INTEGER_PATTERN).alias("_integers"),
-        all_match(NUMBER_PATTERN).alias("_numbers"),
-        all_match(BOOLEAN_PATTERN).alias("_booleans"),
+        F.bool_and(F.when(is_alnum(F.col("text")), is_numeric_text(F.col("text"))).otherwise(False)).alias("numeric_text"),
         F.min(F.when(present > 1, F.col("first_present"))).alias("dup_row"),
     )
-    typed = lake.with_columns(found, "base_type").withColumn(
-        "base_type", F.coalesce("base_type", _inferred_type())
-    )
+    typed = lake.with_columns(found, "base_type")
     ur = F.try_divide("n_distinct", "n_present")
     return typed.select(
         *COLUMN_KEY,

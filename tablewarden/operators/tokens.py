@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.buckets import prevalence_range
-from tablewarden.functions.text import tokens
+from tablewarden.functions.text import MISSING_TEXT, is_one_token, tokens
 from tablewarden.operators.profile import COLUMN_KEY
 
 
@@ -19,6 +19,14 @@ def table_tokens(values: DataFrame) -> DataFrame:
     )
 
 
+def cell_tokens(rows: DataFrame) -> DataFrame:
+    """(table_id, token, cnt) straight from rows of texts, where no value dictionary is wanted for more."""
+    text = F.coalesce("value", F.lit(MISSING_TEXT))
+    cells = rows.select("table_id", F.explode("cells").alias("value"))
+    found = cells.select("table_id", F.explode(tokens(text)).alias("token"))
+    return found.groupBy("table_id", "token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def lake_tokens(values: DataFrame) -> DataFrame:
     """(token, cnt): occurrences in the whole lake, without counts per table on the way."""
     return (
@@ -55,12 +63,14 @@ def column_prevalence(values: DataFrame, token_counts: DataFrame, mode: str = "s
 
     The prevalence of a text is the mean count of its distinct tokens, 1 for unknown tokens and 0
     for a text without tokens; a column's is the sum over its rows, or the mean with mode="mean".
-    Weights are first summed per column and token, so a token that fills a column meets the
-    dictionary once per column, not once per row.
+    Weights of long texts are first summed per column and token, so a token that fills a column
+    meets the dictionary once per column, not once per text.
     """
     if mode not in ("sum", "mean"):
         raise ValueError("mode must be 'sum' or 'mean'")
-    split = values.select(*COLUMN_KEY, "n", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    # A text of one token is one row per column already; only tokens of longer texts are added up.
+    one = is_one_token(F.col("text"))
+    split = values.filter(~one).select(*COLUMN_KEY, "n", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
     weights = (
         split.select(
             *COLUMN_KEY,
@@ -69,6 +79,9 @@ def column_prevalence(values: DataFrame, token_counts: DataFrame, mode: str = "s
         )
         .groupBy(*COLUMN_KEY, "token")
         .agg(F.sum("weight").alias("weight"))
+        .union(
+            values.filter(one).select(*COLUMN_KEY, F.col("text").alias("token"), F.col("n").cast("double").alias("weight"))
+        )
     )
     summed = (
         weights.join(token_counts, "token", "left")

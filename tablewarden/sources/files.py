@@ -9,12 +9,15 @@ reader for each schema. Both ways give equal texts, types and rejects.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -26,10 +29,9 @@ from tablewarden.functions.arrow_text import arrow_kind, arrow_texts, column_tex
 from tablewarden.functions.text import base_type, cell_text, float_text, number, quoted
 from tablewarden.operators.joins import attach
 from tablewarden.operators.ordered import largest_group, number_rows, running_sums
-from tablewarden.operators.profile import profile, table_catalog
-from tablewarden.operators.values import value_dictionary
+from tablewarden.operators.types import column_types
 from tablewarden.session import ship_package, stage
-from tablewarden.sources.lake import Lake, column_frame, union_lakes
+from tablewarden.sources.lake import Lake, union_lakes
 
 SMALL_FILE_BYTES = 8 * 1024 * 1024
 
@@ -57,7 +59,11 @@ class Scan:
     rejected: DataFrame
 
 
-def list_tables(spark: SparkSession, root: str, file_type: str = "csv") -> DataFrame:
+# A folder, or the paths of single files and folders.
+Root = str | list[str]
+
+
+def list_tables(spark: SparkSession, root: Root, file_type: str = "csv") -> DataFrame:
     """(path, length) of all files under `root` with the given suffix, but for files of no bytes.
 
     Contents are not read.
@@ -65,7 +71,7 @@ def list_tables(spark: SparkSession, root: str, file_type: str = "csv") -> DataF
     return _binary(spark, root, file_type).select(F.col("_metadata.file_path").alias("path"), "length")
 
 
-def _binary(spark: SparkSession, root: str, file_type: str) -> DataFrame:
+def _binary(spark: SparkSession, root: Root, file_type: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -134,7 +140,7 @@ def _parsed(path: str, kind: str, n: int, given: dict[str, pa.Array]) -> pa.Reco
     )
 
 
-def _scan_small(spark: SparkSession, root: str, limit: int) -> Scan:
+def _scan_small(spark: SparkSession, root: Root, limit: int) -> Scan:
     files = _binary(spark, root, "parquet").filter(F.col("length") <= limit)
     files = files.select(F.col("_metadata.file_path").alias("path"), "content")
     zone = spark.conf.get("spark.sql.session.timeZone")
@@ -206,11 +212,13 @@ def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.select("table_id", (F.col("_record") - 1).alias("row_idx"), "record"), unclosed
 
 
-def scan_csv(spark: SparkSession, root: str, file_type: str = "csv") -> Scan:
+def scan_csv(spark: SparkSession, root: Root, file_type: str = "csv", typed: bool = True) -> Scan:
     """CSV files of any size, read in splits, types inferred from the texts.
 
-    Lines that are empty outside quotes are skipped, and missing cells at the end of a row are NULL.
-    Rejected are files without any record, with a row longer than the header, or with an open quote.
+    With `typed=False` the texts stay as they are written, and all columns are object: no pass over
+    the cells for types. Lines that are empty outside quotes are skipped, and missing cells at the end
+    of a row are NULL. Rejected are files without any record, with a row longer than the header, or
+    with an open quote.
     """
     ship_package(spark)
     lines = (
@@ -242,7 +250,7 @@ def scan_csv(spark: SparkSession, root: str, file_type: str = "csv") -> Scan:
         .select(
             "table_id",
             F.posexplode("cells").alias("col_idx", "col_name"),
-            F.lit(None).cast("string").alias("base_type"),
+            F.lit("object").alias("base_type"),
         )
     )
     largest = shapes.agg(F.max("n")).first()[0] or 0
@@ -258,21 +266,20 @@ def scan_csv(spark: SparkSession, root: str, file_type: str = "csv") -> Scan:
         .union(shapes.filter("widest > width").select("table_id", F.lit("a row is longer than the header")))
         .union(unclosed.select("table_id", F.lit("a quote is not closed")))
     )
-    return Scan(retyped(lake), rejected)
+    return Scan(retyped(lake) if typed else lake, rejected)
 
 
 def retyped(lake: Lake) -> Lake:
-    """The lake with inferred types filled in and numbers in canonical form (`1.50` as `1.5`)."""
-    found = stage(
-        lake.with_columns(profile(lake, value_dictionary(lake)), "col_name"), "inferred"
-    )
-    tables = found.groupBy("table_id").agg(
+    """The lake with types inferred from its texts and numbers in canonical form (`1.50` as `1.5`)."""
+    found = stage(column_types(lake.rows), "types")
+    columns = stage(lake.columns.drop("base_type").join(found, ["table_id", "col_idx"]), "columns")
+    tables = columns.groupBy("table_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("col_idx", "base_type"))), lambda c: c["base_type"]
-        ).alias("types")
+        ).alias("types"),
+        F.max("n_rows").alias("n_rows"),
     )
-    tables = tables.join(table_catalog(found).select("table_id", "n_rows"), "table_id")
-    largest = found.agg(F.max("n_rows")).first()[0] or 0
+    largest = columns.agg(F.max("n_rows")).first()[0] or 0
     typed = attach(lake.rows, tables, ["table_id"], F.col("row_idx"), "n_rows", largest)
 
     def render(cell: Column, kind: Column) -> Column:
@@ -284,17 +291,18 @@ def retyped(lake: Lake) -> Lake:
 
     return Lake(
         typed.select("table_id", "row_idx", F.zip_with("cells", "types", render).alias("cells")),
-        found.select("table_id", "col_idx", "col_name", "base_type"),
+        columns.select("table_id", "col_idx", "col_name", "base_type"),
     )
 
 
 def parquet_table(spark: SparkSession, path: str, table_id: str | None = None) -> Lake:
     """One Parquet file of any size as one table, rows in file order."""
-    return _one_schema(spark.read.parquet(path), F.lit(table_id or path), [table_id or path])
+    name = F.lit(table_id or path)
+    return _one_schema(spark.read.parquet(path), name, spark.range(1).select(name.alias("table_id")))
 
 
-def _one_schema(df: DataFrame, name: Column, table_ids: list[str]) -> Lake:
-    """Tables that share a schema, read by one reader."""
+def _one_schema(df: DataFrame, name: Column, tables: DataFrame) -> Lake:
+    """Tables that share a schema, read by one reader; `tables` has their table_id."""
     spark = df.sparkSession
     zone = spark.conf.get("spark.sql.session.timeZone")
     # Types whose texts would depend on the version of Java or on Spark's options for JSON.
@@ -305,29 +313,72 @@ def _one_schema(df: DataFrame, name: Column, table_ids: list[str]) -> Lake:
         for f in df.schema.fields
     ])
     rows = df.select(name.alias("table_id"), F.col("_metadata.row_index").alias("row_idx"), cells.alias("cells"))
-    tables = spark.createDataFrame([(t,) for t in table_ids], "table_id string")
-    return Lake(rows, tables.crossJoin(F.broadcast(column_frame(spark, kinds))))
-
-
-def _scan_large(spark: SparkSession, paths: list[str]) -> tuple[list[Lake], list[tuple[str, str]]]:
-    """Lakes of the files, one for each schema among them, and (path, error) of files Spark cannot read."""
-    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
-    rejected = []
-    for path in paths:
-        try:
-            schema = spark.read.parquet(path).schema
-        except AnalysisException as problem:
-            rejected.append((path, str(problem).split("\n")[0]))
-            continue
-        except Py4JJavaError as problem:
-            unread = [c for c in UNREADABLE if c in str(problem)]
-            if not unread:
-                raise
-            rejected.append((path, unread[0]))
-            continue
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
-    file = F.col("_metadata.file_path")
-    lakes = [_one_schema(spark.read.schema(schema).parquet(*own), file, own) for schema, own in by_schema.values()]
+    described = F.array(*[
+        F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.lit(kind).alias("base_type"))
+        for i, (n, kind) in enumerate(kinds)
+    ])
+    return Lake(rows, tables.select("table_id", F.inline(described)))
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each file's schema, from its last bytes alone; none where a task cannot open it."""
+    for batch in batches:
+        keys = []
+        for path in batch.column(0).to_pylist():
+            try:
+                system, place = pa.fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as source:
+                    footer = pq.ParquetFile(source).metadata
+                    spark_schema = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+                    keys.append(hashlib.md5(str(footer.schema).encode() + spark_schema).hexdigest())
+            except (pa.ArrowException, OSError):  # Spark is asked, which says why or can open it
+                keys.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], ["path", "key"])
+
+
+def _spark_schema(spark: SparkSession, path: str) -> T.StructType | str:
+    """The schema of a file as Spark reads it, or why it does not."""
+    try:
+        return spark.read.parquet(path).schema
+    except AnalysisException as problem:
+        return str(problem).split("\n")[0]
+    except Py4JJavaError as problem:
+        unread = [c for c in UNREADABLE if c in str(problem)]
+        if not unread:
+            raise
+        return unread[0]
+
+
+def _scan_large(spark: SparkSession, files: DataFrame) -> tuple[list[Lake], DataFrame]:
+    """Lakes of the files, one for each schema among them, and (path, error) of files Spark cannot read.
+
+    Tasks read the footers, so the driver opens one file for each different schema. Only where tasks
+    cannot open a file, as behind a path that Spark alone knows, does the driver read its footer, a
+    few at a time.
+    """
+    keyed = stage(files.select("path").mapInArrow(_footers, "path string, key string"), "footers")
+    schemas, errors = {}, {}
+    for key, path in keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("path")).collect():
+        found = _spark_schema(spark, path)
+        (errors if isinstance(found, str) else schemas)[key] = found
+    rest = [r.path for r in keyed.where("key IS NULL").select("path").collect()]
+    with ThreadPoolExecutor(16) as pool:
+        answers = list(pool.map(lambda path: _spark_schema(spark, path), rest))
+    singles: dict[str, list[str]] = {}
+    for path, found in zip(rest, answers, strict=True):
+        if not isinstance(found, str):
+            schemas.setdefault(found.json(), found)
+            singles.setdefault(found.json(), []).append(path)
+    broken = [(path, found) for path, found in zip(rest, answers, strict=True) if isinstance(found, str)]
+    rejected = keyed.join(
+        F.broadcast(spark.createDataFrame(list(errors.items()), "key string, error string")), "key"
+    ).select("path", "error").union(spark.createDataFrame(broken, "path string, error string"))
+    file, lakes = F.col("_metadata.file_path"), []
+    for key, schema in schemas.items():
+        # A reader takes the names of its files from the driver.
+        own = singles.get(key) or [r.path for r in keyed.where(F.col("key") == key).select("path").collect()]
+        tables = spark.createDataFrame([(path,) for path in own], "table_id string")
+        lakes.append(_one_schema(spark.read.schema(schema).parquet(*own), file, tables))
     return lakes, rejected
 
 
@@ -335,29 +386,24 @@ def _scan_large(spark: SparkSession, paths: list[str]) -> tuple[list[Lake], list
 
 
 def scan_lake(
-    spark: SparkSession, root: str, file_type: str = "csv", small_file_bytes: int = SMALL_FILE_BYTES
+    spark: SparkSession,
+    root: Root,
+    file_type: str = "csv",
+    small_file_bytes: int = SMALL_FILE_BYTES,
+    typed: bool = True,
 ) -> Scan:
     """All files of a type under `root`, a table each, named by their paths.
 
-    `small_file_bytes` is for Parquet: files up to it are parsed whole inside tasks.
+    `small_file_bytes` is for Parquet: files up to it are parsed whole inside tasks. `typed` is for
+    CSV: whether types are inferred.
     """
     ship_package(spark)
     if file_type != "parquet":
-        return scan_csv(spark, root, file_type)
+        return scan_csv(spark, root, file_type, typed)
     small = _scan_small(spark, root, small_file_bytes)
-    # Only the names of the large files come to the driver, where every reader needs them.
-    large = [
-        r.path
-        for r in list_tables(spark, root, file_type)
-        .filter(F.col("length") > small_file_bytes)
-        .select("path")
-        .collect()
-    ]
-    if not large:
-        return small
+    large = list_tables(spark, root, file_type).filter(F.col("length") > small_file_bytes)
     lakes, rejected = _scan_large(spark, large)
-    more = spark.createDataFrame(rejected, "path string, error string")
-    return Scan(union_lakes(small.lake, *lakes), small.rejected.union(more))
+    return Scan(union_lakes(small.lake, *lakes), small.rejected.union(rejected))
 
 
 @dataclass(frozen=True)
@@ -371,15 +417,24 @@ class AggregatedLake:
 
 
 def aggregate_lake(
-    spark: SparkSession, root: str, dirty_name: str = "dirty.csv", clean_name: str = "clean.csv"
+    spark: SparkSession,
+    root: str,
+    dirty_name: str = "dirty.csv",
+    clean_name: str = "clean.csv",
+    file_type: str = "csv",
+    layout: str = r"([^/]+)/([^/]+)$",
 ) -> AggregatedLake:
-    """A lake laid out as `<root>/<table>/{dirty,clean}.csv`, tables renumbered 0 to n-1 by name."""
-    scan = scan_lake(spark, root, dirty_name.rsplit(".", 1)[-1])
+    """A lake laid out as `<root>/<table>/{dirty,clean}.csv`, tables renumbered 0 to n-1 by name.
+
+    `layout` finds the table's and the twin's name in a path, for other layouts such as the folders
+    that Spark writes. All files are scanned together, so that twins are read alike.
+    """
+    scan = scan_lake(spark, root, file_type)
 
     def parts(path: Column) -> dict[str, Column]:
         return {
-            "table_name": F.regexp_extract(path, r"([^/]+)/[^/]+$", 1),
-            "file_name": F.regexp_extract(path, r"([^/]+)$", 1),
+            "table_name": F.regexp_extract(path, layout, 1),
+            "file_name": F.regexp_extract(path, layout, 2),
         }
 
     rows = scan.lake.rows.withColumns(parts(F.col("table_id"))).drop("table_id")

@@ -22,7 +22,7 @@ class Lake:
     rows     (table_id, row_idx, cells): one row per table row, cells as an array of texts in
              column order, NULL where a cell is missing.
     columns  (col_idx, col_name, base_type), with a leading table_id unless all tables are cut
-             from the same schema. base_type is NULL where it has to be inferred from the texts.
+             from the same schema.
     """
 
     rows: DataFrame
@@ -65,8 +65,8 @@ def typed_cells(df: DataFrame, names: list[str]) -> tuple[list[tuple[str, str]],
     return kinds, F.array(*[cell_text(quoted(n), fields[n]) for n in names])
 
 
-def _largest_table(df: DataFrame, keys: list[str]) -> int:
-    """Cells of the largest table, a text counting as its bytes over CELL_BYTES and one.
+def _table_cells(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cells): cells of each table, a text counting as its bytes over CELL_BYTES and one.
 
     A plain window leaves a table in one task, so whether it may is a matter of bytes, not rows.
     """
@@ -74,8 +74,7 @@ def _largest_table(df: DataFrame, keys: list[str]) -> int:
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             width += F.coalesce(F.floor(F.octet_length(field.name) / CELL_BYTES), F.lit(0))
-    tables = df.groupBy(*keys).agg(F.sum(width).alias("cells"))
-    return tables.agg(F.max("cells")).first()[0] or 0
+    return df.groupBy(*keys).agg(F.sum(width).cast("long").alias("cells"))
 
 
 def lake_from_table(
@@ -93,7 +92,7 @@ def lake_from_table(
         keyed,
         ["table_id"],
         [F.col(f"_order_{i}") for i in range(len(order_by))],
-        largest=_largest_table(keyed, ["table_id"]),
+        largest=_table_cells(keyed, ["table_id"]).agg(F.max("cells")).first()[0] or 0,
     )
     # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
     return Lake(
@@ -106,16 +105,19 @@ def lake_from_tables(
     tables: dict[str, tuple[DataFrame, list[str], list[str]]],
 ) -> Lake:
     """A lake of whole DataFrames: name -> (data, order columns, value columns)."""
+    kept = {t: df.select(*dict.fromkeys([*order_by, *columns])) for t, (df, order_by, columns) in tables.items()}
+    # One job for all tables.
+    counted = [_table_cells(df, []).select(F.lit(t).alias("name"), "cells") for t, df in kept.items()]
+    sizes = dict(reduce(DataFrame.union, counted).collect())
     lakes = []
     for name, (df, order_by, columns) in tables.items():
         kinds, cells = typed_cells(df, columns)
-        kept = df.select(*dict.fromkeys([*order_by, *columns]))
-        numbered = number_rows(
-            kept, [], [F.col(c) for c in order_by], largest=_largest_table(kept, [])
-        )
+        numbered = number_rows(kept[name], [], [F.col(c) for c in order_by], largest=sizes[name] or 0)
         named = F.lit(name).alias("table_id")
         meta = column_frame(df.sparkSession, kinds).select(named, "*")
-        lakes.append(Lake(numbered.select(named, "row_idx", cells.alias("cells")), meta))
+        # A table may have been numbered by one task; its texts are made by many.
+        dealt = numbered.repartition("row_idx")
+        lakes.append(Lake(dealt.select(named, "row_idx", cells.alias("cells")), meta))
     return union_lakes(*lakes)
 
 

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.operators.spelling import spelling_measures
+from tablewarden.operators.types import column_types
 from tablewarden.plans.measures import Measured
+from tablewarden.sources.files import retyped
 from tests import brute
 
 
@@ -228,12 +230,13 @@ def test_types_are_inferred_from_texts(spark):
         "text": ["12d", "1"],
         "empty": [None, None],
     }
-    lake = brute.make_lake(spark, {k: [v] for k, v in columns.items()}, None)
-    found = {r.table_id: (r.base_type, r.d_type) for r in Measured(lake).profile.collect()}
-    assert found["int"] == ("int64", "int64")
-    assert found["float"] == ("float64", "alnumeric")
-    assert found["real"][0] == "float64" and found["bool"] == ("bool", "alnumeric")
-    assert found["text"] == ("object", "alnumeric") and found["empty"][0] == "float64"
+    lake = brute.make_lake(spark, {k: [v] for k, v in columns.items()})
+    found = {r.table_id: (r.base_type, r.n_rows) for r in column_types(lake.rows).collect()}
+    kinds = {"int": "int64", "float": "float64", "real": "float64", "bool": "bool", "text": "object", "empty": "float64"}
+    assert found == {k: (kind, 2) for k, kind in kinds.items()}
+    typed = {r.table_id: (r.base_type, r.d_type) for r in Measured(retyped(lake)).profile.collect()}
+    assert typed["int"] == ("int64", "int64") and typed["float"][0] == "float64"
+    assert typed["bool"] == ("bool", "alnumeric") and typed["text"] == ("object", "alnumeric")
 
 
 def test_suspects_of_a_hot_table_survive_any_strategy(spark, wide):

@@ -404,25 +404,32 @@ def labelled_query() -> tuple[Query, str]:
     return run, text
 
 
+def truth_check(dirty: Lake, clean: Lake) -> DataFrame:
+    """The findings of all four detectors in a lake, checked against its clean twin."""
+    measured = Measured(dirty)
+    found = {}
+    for kind in ("uv", "fd", "no", "se"):
+        train, test = _split_measures(measured, kind)
+        model = stage(LEARN[kind](train), f"{kind}_model")
+        found[kind] = DETECT[kind](test, model, dirty, clean)
+    union = detect.all_findings([found["uv"], found["no"], found["se"]], found["fd"])
+    return union.select(*TRUTH_FIELDS)
+
+
 def truth_query() -> tuple[Query, str]:
     """All four detectors on planted errors, checked against the clean orders."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean = lake(spark, sf_dir, "orders")
-        dirty = lake_from_table(with_planted_errors(read(spark, sf_dir, "orders")), *CUTS["orders"])
-        measured = Measured(dirty)
-        found = {}
-        for kind in ("uv", "fd", "no", "se"):
-            train, test = _split_measures(measured, kind)
-            model = stage(LEARN[kind](train), f"{kind}_model")
-            found[kind] = DETECT[kind](test, model, dirty, clean)
-        union = detect.all_findings([found["uv"], found["no"], found["se"]], found["fd"])
-        return union.select(*TRUTH_FIELDS)
-
-    dirty = sql.SqlLake([(DIRTY_SOURCE, *sql.ORDERS.tables[0][1:])])
+        return truth_check(lake_from_table(with_planted_errors(read(spark, sf_dir, "orders")), *CUTS["orders"]), clean)
+
+    return run, truth_sql(sql.SqlLake([(DIRTY_SOURCE, *sql.ORDERS.tables[0][1:])]), sql.ORDERS)
+
+
+def truth_sql(dirty: sql.SqlLake, clean: sql.SqlLake) -> str:
     clean_ctes = [
         c.replace("base_0", "clean_base").replace("cells AS", "clean_cells AS")
-        for c in sql.ORDERS.ctes()
+        for c in clean.ctes()
         if not c.startswith("meta")
     ]
     truth = (
@@ -450,7 +457,7 @@ def truth_query() -> tuple[Query, str]:
     for kind in ("uv", "fd", "no", "se"):
         steps += [sql.model_cte(kind), sql.scored_cte(kind)]
     union = " UNION ALL ".join(f"SELECT {', '.join(TRUTH_FIELDS)} FROM ({q})" for q in [*singles, pair])
-    return run, sql.query([*clean_ctes, *dirty.ctes(), *steps], union)
+    return sql.query([*clean_ctes, *dirty.ctes(), *steps], union)
 
 
 TRUTH_FIELDS = [
@@ -474,6 +481,12 @@ TRUTH_FIELDS = [
 ]
 
 
+def file_queries() -> dict[str, tuple[Query, str | None]]:
+    from tablewarden.registry_files import queries  # which builds on this module
+
+    return queries()
+
+
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     found: dict[str, tuple[Query, str | None]] = {
         "lake_catalog": catalog_query("orders"),
@@ -519,4 +532,4 @@ def all_queries() -> dict[str, tuple[Query, str | None]]:
     found["no_findings_lineitem"] = findings_query("no", "lineitem")
     found["se_measures_conversations"] = measures_query("se", "conversations")
     found["se_findings_conversations"] = findings_query("se", "conversations")
-    return found
+    return found | file_queries()

@@ -330,7 +330,8 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with system.open_input_file(place) as source:
                     footer = pq.ParquetFile(source).metadata
                     spark_schema = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
-                    keys.append(hashlib.md5(str(footer.schema).encode() + spark_schema).hexdigest())
+                    columns = str(footer.schema).partition("\n")[2]  # the first line names the object
+                    keys.append(hashlib.md5(columns.encode() + spark_schema).hexdigest())
             except (pa.ArrowException, OSError):  # Spark is asked, which says why or can open it
                 keys.append(None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], ["path", "key"])

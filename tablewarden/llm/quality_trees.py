@@ -263,13 +263,14 @@ def judge(docs: DataFrame, trees: Trees, least_words: int = 50, threshold: float
             rows = np.asarray(x.flatten(), float).reshape(-1, len(FEATURES))
             yield pa.array(model.value.score(rows))
 
-    taken = docs.drop("quality").select("*", text_statistics("text").alias("_counts"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "quality"]
+    taken = docs.select(F.struct(*own).alias("_row"), text_statistics("text").alias("_counts"))
     scored = taken.withColumn("_score", score("_counts.features"))
     failed = (F.col("_counts.n_words") < least_words) | (
         100 * F.col("_counts.n_repeat_words") > 50 * F.col("_counts.n_words")
     )
     return scored.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "quality"],
+        "_row.*",
         F.struct(
             *[F.col(f"_counts.{c}") for c in COUNTS],
             failed.alias("base_failed"),

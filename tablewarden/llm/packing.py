@@ -42,8 +42,8 @@ def document_pieces(docs: DataFrame, capacity: int, tokenizer: str, ranks: str)
         encode = encoder(tokenizer, ranks)
         for batch in (part for b in batches for part in slices(b, b.column(1))):
             rows: list[list] = [[], [], [], [], []]
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + b"\0\0\0\0"
+            for at, ids in enumerate(encode(batch.column(1))):
+                ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for k, start in enumerate([0, *range(first, n, capacity)]):

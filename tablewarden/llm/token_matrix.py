@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.bestfit import best_fit_decreasing
 from tablewarden.llm.common import slices
-from tablewarden.llm.tokens import encoder
+from tablewarden.llm.tokens import encoder, largest_id
 from tablewarden.session import ship_package
 
 _SEGMENT = "struct<doc_id:{}, start:bigint, length:int>"
@@ -37,7 +37,8 @@ def token_matrix(
     sequence_id (unique), input_ids (`capacity` little-endian ids, padded with `pad_id`),
     cu_seqlens (0, then the end of every segment), position_ids (places within the segment, 0 again
     at every start and on padding), segments (which document, from which of its ids, how many).
-    Ids and positions take 16 bits where the vocabulary and `capacity` allow, else 32.
+    Ids take 16 bits if the whole vocabulary fits, positions if `capacity` does, else 32. Which
+    segments share a sequence depends on how the table is partitioned; the segments do not.
 
     A document's ids are followed by `end_id`; longer documents are cut losslessly into segments.
     Null and empty texts have that id alone; null ids stay null; repeated rows are separate
@@ -45,6 +46,8 @@ def token_matrix(
     ids a task holds before it packs them.
     """
     ship_package(docs.sparkSession)
+    # One width for all rows, whatever ids a window holds.
+    wide = max(largest_id(tokenizer), end_id, pad_id) >= 1 << 16
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
@@ -57,7 +60,6 @@ def token_matrix(
             nonlocal held, total, made
             lengths = np.array([len(x[2]) for x in held], np.int64)
             rows, offsets, n = best_fit_decreasing(lengths, capacity)
-            wide = max((int(x[2].max()) for x in held), default=0) >= 1 << 16 or pad_id >= 1 << 16
             ids = np.full((n, capacity), pad_id, "<u4" if wide else "<u2")
             places = np.zeros((n, capacity), "<u4" if capacity > 1 << 16 else "<u2")
             order = np.lexsort((offsets, rows))
@@ -92,8 +94,8 @@ def token_matrix(
 
         for batch in (part for b in batches for part in slices(b, b.column(1))):
             kind = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(np.frombuffer(encode(text or ""), "<u4"), np.uint32(end_id))
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                 for start in range(0, len(ids), capacity):
                     held.append((doc_id, start, ids[start : start + capacity]))
                 total += len(ids)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -75,8 +76,10 @@ def test_token_ids_are_those_of_the_file(documents):
     whole, encode = Tokenizer.from_file(tokenizer), encoder(tokenizer, ranks)
     texts = [r.text or "" for r in documents.collect()]
     texts += ["a\nb c", "\n a", "x  y", "it's we'll\tnot ", "tab\tin word", "né e 12 3.4%\r\nz", "a 　b"]
-    for t in texts:
-        assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    texts += [f"a{blank}b" for blank in "\x1c\x85\xa0\u2003\u3000\r\x0b"] + [f"a{blank} b" for blank in "\t\x1f\u2028"] + ["\u205fa", "a\u1680"]
+    for t, ids in zip(texts, encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert list(encode(pa.array([None, ""], pa.string()))) == [b"", b""]
 
 
 @pytest.mark.parametrize("group", [packing.GROUP, 20])

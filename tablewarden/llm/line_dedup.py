@@ -7,6 +7,10 @@ the earliest of them, and the edit distance of both texts is verified.
 
 Lines that no other line can be near to emit nothing: cut into parts, a line shares all parts but
 one with any line within one edit, so a first pass with a few hashes per line finds those that do.
+It also tells in which part the gap must lie, so that only places in such parts emit a key.
+
+A line is known by 128 bits of XXH3. Keys of lines with gaps are sums of powers, which hold for every
+place at once; they only say which texts to compare.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +67,9 @@ def _line_rows(edits: int, least_chars: int):
                 inked = np.concatenate([[0], np.cumsum(~blank)])
                 on = inked[ends] > inked[begins]
                 begins, ends, owner, number = begins[on], ends[on], owner[on], number[on]
-                one, two = Rolling(codes), Rolling(codes, 1)
-                size = (ends - begins).astype(np.uint64)
-                h1 = mix(one.of(begins, ends) + size)
-                h2 = mix(two.of(begins, ends) ^ size)
-                keys = _part_keys(one, begins, ends) if edits else np.zeros((len(begins), 0), np.uint64)
+                digests = b"".join(xxhash.xxh3_128_digest(x) for t in texts[low:high] for x in t.encode().split(b"\n"))
+                names = np.frombuffer(digests, "<i8").reshape(-1, 2)[on]
+                keys = _part_keys(Rolling(codes), begins, ends) if edits else np.zeros((len(begins), 0), np.uint64)
                 long = ends - begins >= max(1, least_chars)
                 offsets = np.concatenate([[0], np.cumsum(np.where(long, keys.shape[1], 0))]).astype(np.int32)
                 at = pa.array(owner + low)
@@ -75,8 +78,8 @@ def _line_rows(edits: int, least_chars: int):
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array(number.astype(np.int32)),
-                        _signed(h1),
-                        _signed(h2),
+                        pa.array(np.ascontiguousarray(names[:, 0])),
+                        pa.array(np.ascontiguousarray(names[:, 1])),
                         pa.ListArray.from_arrays(pa.array(offsets), _signed(keys[long].reshape(-1))),
                     ],
                     ["_id", "_hash", "line", "h1", "h2", "keys"],
@@ -98,18 +101,32 @@ def _part_keys(hashes: Rolling, begins: np.ndarray, ends: np.ndarray) -> np.ndar
     return np.stack(keys, axis=1)
 
 
+def _gaps(mask: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a gap can be, from the parts left out that a line shares with another: to lose the
+    character that one of its length has changed, and to become a line that is one shorter."""
+    changed, lost = np.zeros(len(place), bool), np.zeros(len(place), bool)
+    for k in range(PARTS):
+        low, high = size * k // PARTS, size * (k + 1) // PARTS
+        changed |= (mask >> k & 1 == 1) & (place >= low) & (place < high)
+        low, high = (size - 1) * k // PARTS, (size - 1) * (k + 1) // PARTS
+        lost |= (mask >> (PARTS + k) & 1 == 1) & (place >= low) & (place <= high)
+    return changed, lost
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed keys of each line: whole, without each character, and the same with the gap's place."""
+    """Hashed keys of each line: whole, without a character, and the same with the gap's place."""
     for batch in (part for b in batches for part in slices(b, b.column(2), HELD // 4)):
-        texts = batch.column(2).to_pylist()
+        texts, masks = batch.column(2).to_pylist(), batch.column(3).to_numpy()
         for low, high in pieces(texts, len, HELD // 4):
             codes, starts = _codes(texts[low:high])
-            one, two = Rolling(codes), Rolling(codes, 1)
             owner = np.repeat(np.arange(high - low), np.diff(starts))
             at = np.arange(len(codes))
             a, b = starts[:-1][owner], starts[1:][owner]
+            changed, lost = _gaps(masks[low:high][owner], at - a, b - a)
+            either = changed | lost
+            at, a, b, owner, changed, lost = (x[either] for x in (at, a, b, owner, changed, lost))
             out = []
-            for h, salt in ((one, np.uint64(1)), (two, np.uint64(5))):
+            for h, salt in ((Rolling(codes), np.uint64(1)), (Rolling(codes, 1), np.uint64(5))):
                 # A polynomial hash of head and tail joined: the tail moves up by the head's length.
                 shift = h.inverse[a] * h.powers[at]
                 cut = h.of(a, at) + h.of(at + 1, b) * shift
@@ -118,9 +135,9 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = mix(h.of(starts[:-1], starts[1:]) + np.diff(starts).astype(np.uint64) * salt)
                 gone = mix(cut + (size - np.uint64(1)) * salt)
                 gap = mix(gone ^ mix(place + np.uint64(77) * salt))
-                out.append(np.concatenate([whole, gone, gap]))
-            kind = np.repeat(np.array([0, 1, 2], np.int8), [high - low, len(codes), len(codes)])
-            who = pa.array(np.concatenate([np.arange(high - low), owner, owner]) + low)
+                out.append(np.concatenate([whole, gone[lost], gap[changed]]))
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [high - low, lost.sum(), changed.sum()])
+            who = pa.array(np.concatenate([np.arange(high - low), owner[lost], owner[changed]]) + low)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(who), batch.column(1).take(who), pa.array(kind), _signed(out[0]), _signed(out[1])],
                 ["h1", "h2", "kind", "k1", "k2"],
@@ -148,16 +165,16 @@ def dropped_lines(docs: DataFrame, edits: int = 1, least_chars: int = 20) -> Dat
     A line goes if an equal line, or one of another text within `edits` (0 or 1) edits, occurs
     earlier, whether that one stays itself or not. Lines without words stay. Lines of fewer than
     `least_chars` characters are compared for equality only: in a short line one letter is another
-    word. Equality is that of 128-bit hashes; an edit distance is verified on the texts.
+    word. Equality is that of 128-bit hashes; an edit distance is verified on the texts. Memory is
+    about 60 bytes for each character of the longest text, or of HELD characters.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    table = line_table(docs, edits, least_chars)
-    lines = stage(table.drop("keys"), "lines")
+    lines = stage(line_table(docs, edits, least_chars), "lines")
     firsts = stage(lines.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.count("*").alias("n")), "firsts")
     again = firsts.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if edits:
-        near = stage(_near_lines(docs, table, firsts), "near")
+        near = stage(_near_lines(docs, lines, firsts), "near")
         again = (
             again.join(near.withColumn("_near", F.lit(True)), ["h1", "h2"], "full")
             .select("h1", "h2", "first", F.coalesce("_near", F.lit(False)).alias("near"))
@@ -166,18 +183,18 @@ def dropped_lines(docs: DataFrame, edits: int = 1, least_chars: int = 20) -> Dat
     return lines.join(again, ["h1", "h2"]).where(F.col("near") | (_first() != F.col("first"))).select("_id", "_hash", "line")
 
 
-def _near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
+def _near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of lines with an earlier line of another text within one edit."""
-    keyed = table.where(F.size("keys") > 0).select("h1", "h2", F.explode("keys").alias("key"))
+    keyed = lines.where(F.size("keys") > 0).select("h1", "h2", F.posexplode("keys").alias("part", "key"))
     shared = stage(
         keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key"), "shared"
     )
-    wanted = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    wanted = stage(wanted.join(firsts, ["h1", "h2"]).select("h1", "h2", "first"), "wanted")
+    wanted = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1, part)")).alias("mask"))
+    wanted = stage(wanted.join(firsts, ["h1", "h2"]).select("h1", "h2", "mask", "first"), "wanted")
     n = wanted.count()
     # Texts of the lines, from their first occurrences.
     places = stage(
-        wanted.groupBy("first._id", "first._hash").agg(F.collect_list(F.struct("h1", "h2", F.col("first.line").alias("line"))).alias("at")),
+        wanted.groupBy("first._id", "first._hash").agg(F.collect_list(F.struct("h1", "h2", "mask", F.col("first.line").alias("line"))).alias("at")),
         "places",
     )
     places = places.select(F.col("_id").alias("_in"), F.col("_hash").alias("_in_hash"), "at")
@@ -187,13 +204,13 @@ def _near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFra
     found = rows.join(places, F.col("_id").eqNullSafe(F.col("_in")) & (F.col("_hash") == F.col("_in_hash")))
     texts = (
         found.select("all", F.explode("at").alias("p"))
-        .select("p.h1", "p.h2", F.get("all", F.col("p.line")).alias("text"))
+        .select("p.h1", "p.h2", "p.mask", F.get("all", F.col("p.line")).alias("text"))
         # Rows alike in id and text are one document.
         .dropDuplicates(["h1", "h2"])
     )
     texts = stage(texts, "texts")
-    variants = texts.select("h1", "h2", "text").mapInArrow(_variants, "h1 long, h2 long, kind byte, k1 long, k2 long")
-    variants = variants.join(wanted, ["h1", "h2"]).select(
+    variants = texts.select("h1", "h2", "text", "mask").mapInArrow(_variants, "h1 long, h2 long, kind byte, k1 long, k2 long")
+    variants = variants.join(wanted.drop("mask"), ["h1", "h2"]).select(
         "k1", "k2", "kind", (F.col("kind") == 0).alias("whole"), F.struct("first", "h1", "h2").alias("o")
     )
     # Gap keys hold lines that differ in one letter; other keys hold one whole line and longer ones.
@@ -214,7 +231,7 @@ def _near_lines(docs: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFra
         F.col("o.h1").alias("h1"), F.col("o.h2").alias("h2"), F.col("hub.h1").alias("g1"), F.col("hub.h2").alias("g2")
     )
     other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("text").alias("hub_text"))
-    checked = pairs.distinct().join(texts, ["h1", "h2"]).join(other, ["g1", "g2"])
+    checked = pairs.distinct().join(texts.drop("mask"), ["h1", "h2"]).join(other, ["g1", "g2"])
     return checked.where(F.levenshtein("text", "hub_text", 1) >= 0).select("h1", "h2").distinct()
 
 

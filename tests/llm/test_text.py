@@ -220,3 +220,49 @@ def test_empty_tables(nothing, labels):
     assert line_dedup.dedup_lines(nothing).count() == 0
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
     assert quality_trees.filter_quality(nothing, labels).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(a if k.bit_count() % 2 else b for k in range(n))
+
+
+def test_unequal_texts_whose_sums_of_powers_are_equal(spark):
+    """A word and its complement, different at every character, are no copies."""
+    from tablewarden.llm import near_dedup
+
+    pair = [thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")]
+    rows = [(k, t) for k, t in enumerate([*pair, f"x {pair[0]}\n{pair[1]} y"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 20):
+        found = dict(rows_of(line_dedup.dedup_lines(df, least_chars=least), "doc_id", "text"))
+        assert found == dict(rows)
+    assert sorted(rows_of(near_dedup.keep_first(df), "doc_id")) == [(0,), (1,), (2,)]
+    cut = suffix_dedup.dedup_substrings(df)
+    expected = brute.substrings(rows, hashes(df))
+    assert [tuple(r) for r in cut.orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()] == expected
+
+
+def test_near_lines_of_every_kind_of_edit(spark):
+    """Each place changed, lost or added, at lengths around the number of parts."""
+    draw = np.random.default_rng(9)
+    lines = []
+    for size in (1, 2, 3, 4, 5, 7, 8, 9, 13, 26):
+        line = "".join(draw.choice(list("abcdefghij"), size))
+        lines.append([line])
+        for k in range(size):
+            lines[-1] += [line[:k] + "X" + line[k + 1 :], line[:k] + line[k + 1 :], line[:k] + "Y" + line[k:]]
+    rows = [(k, x) for k, x in enumerate(x for group in lines for x in draw.permutation(group).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.line_dedup(rows, hashes(df), least=1)
+    found = dict(rows_of(line_dedup.dedup_lines(df, least_chars=1), "doc_id", "text"))
+    assert found == {i: e for (i, _), e in zip(rows, expected)}
+
+
+def test_judge_keeps_columns_called_like_its_own(spark, labels):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    trees = quality_trees.learn(docs, labels)
+    odd = docs.select("doc_id", "text", F.lit(1).alias("_score"), F.lit("c").alias("_counts"), F.lit(2).alias("_row"), F.lit(3).alias("quality"))
+    judged = quality_trees.judge(odd, trees)
+    assert judged.columns == ["doc_id", "text", "_score", "_counts", "_row", "quality"]
+    assert {(r._score, r._counts, r._row) for r in judged.collect()} == {(1, "c", 2)}
+    assert judged.where("quality.kept").count() == quality_trees.judge(docs, trees).where("quality.kept").count()

@@ -21,6 +21,8 @@ from tablewarden.llm.common import SPACES, as_bytes, sampled_labels, slices
 from tablewarden.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
+# Words that a document must have, and how likely label 1 must be.
+LEAST_WORDS, THRESHOLD = 50, 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 # Statistics the trees see, with the direction a score may move as one grows: 1 up, -1 down, 0 either.
 FEATURES = {
@@ -245,14 +247,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees:
     return fit_trees(x, rows["_label"].to_numpy().astype(float), list(FEATURES.values()))
 
 
-def judge(docs: DataFrame, trees: Trees, least_words: int = 50, threshold: float = 0.5) -> DataFrame:
-    """`docs` with a struct column `quality`: the counts, base_failed, score and kept.
-
-    base_failed: fewer than `least_words` words, or over half the words in repeated windows of
-    three. Others are kept if the trees give label 1 at least `threshold`. All columns of `docs`
-    stay, one of the name `quality` excepted, which is replaced. Null and empty texts have no words
-    and fail; repeated rows get equal verdicts, each its own; an empty table gives no rows.
-    """
+def _verdicts(docs: DataFrame, row: Column, trees: Trees, least_words: int, threshold: float) -> DataFrame:
+    """_row, what `row` says of each row of `docs`, and quality."""
     spark = docs.sparkSession
     ship_package(spark)
     model = spark.sparkContext.broadcast(trees)
@@ -263,14 +259,13 @@ def judge(docs: DataFrame, trees: Trees, least_words: int = 50, threshold: float
             rows = np.asarray(x.flatten(), float).reshape(-1, len(FEATURES))
             yield pa.array(model.value.score(rows))
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "quality"]
-    taken = docs.select(F.struct(*own).alias("_row"), text_statistics("text").alias("_counts"))
+    taken = docs.select(row.alias("_row"), text_statistics("text").alias("_counts"))
     scored = taken.withColumn("_score", score("_counts.features"))
     failed = (F.col("_counts.n_words") < least_words) | (
         100 * F.col("_counts.n_repeat_words") > 50 * F.col("_counts.n_words")
     )
     return scored.select(
-        "_row.*",
+        "_row",
         F.struct(
             *[F.col(f"_counts.{c}") for c in COUNTS],
             failed.alias("base_failed"),
@@ -280,7 +275,19 @@ def judge(docs: DataFrame, trees: Trees, least_words: int = 50, threshold: float
     )
 
 
+def judge(docs: DataFrame, trees: Trees, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with a struct column `quality`: the counts, base_failed, score and kept.
+
+    base_failed: fewer than `least_words` words, or over half the words in repeated windows of
+    three. Others are kept if the trees give label 1 at least `threshold`. All columns of `docs`
+    stay, one of the name `quality` excepted, which is replaced. Null and empty texts have no words
+    and fail; repeated rows get equal verdicts, each its own; an empty table gives no rows.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"])
+    return _verdicts(docs, own, trees, least_words, threshold).select("_row.*", "quality")
+
+
 def filter_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    verdict = judge(docs.select(F.struct("*").alias("_row"), F.col("text")), learn(docs, labels, sample))
+    verdict = _verdicts(docs, F.struct("*"), learn(docs, labels, sample), LEAST_WORDS, THRESHOLD)
     return verdict.where("quality.kept").select("_row.*")

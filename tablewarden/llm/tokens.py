@@ -21,14 +21,14 @@ REMEMBERED = 600_000
 
 
 class _Known(dict):
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word if word[:1] == "\n" else f" {word}")
         ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64 and len(self) < REMEMBERED:
+        if len(word) <= 64 and len(self) < self.most:
             self[word] = ids
         return ids
 
@@ -49,7 +49,7 @@ def largest_id(tokenizer: str) -> int:
 
 
 @lru_cache(maxsize=4)
-def encoder(tokenizer: str, ranks: str) -> Callable[[pa.Array], Iterator[bytes]]:
+def encoder(tokenizer: str, ranks: str, remembered: int = REMEMBERED) -> Callable[[pa.Array], Iterator[bytes]]:
     """A function from texts to the ids of each, as little-endian unsigned 32-bit numbers.
 
     `tokenizer` is the vocabulary's tokenizers file, `ranks` the same vocabulary for tiktoken. The
@@ -57,6 +57,7 @@ def encoder(tokenizer: str, ranks: str) -> Callable[[pa.Array], Iterator[bytes]]
     other characters, so the ids of such a text are those of its words, and words repeat. Other
     texts are encoded as one. Strings of special tokens inside a text count as these tokens, as the
     tokenizers file says; texts with one go through that library. A null text has no ids.
+    `remembered` words stay in the memory of a worker as long as it lives.
     """
     import public_tokenizers
     import tiktoken
@@ -68,7 +69,7 @@ def encoder(tokenizer: str, ranks: str) -> Callable[[pa.Array], Iterator[bytes]]
     plain = tiktoken.Encoding(
         "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
     ).encode_ordinary
-    known = _Known(plain)
+    known = _Known(plain, remembered)
 
     def one(text: str, has_run: bool) -> bytes:
         if any(s in text for s in special):

@@ -24,6 +24,11 @@ CHECKED = [
     "se_measures_dimensions",
     "se_measures_conversations",
     "se_labelled",
+    "csv_tokens",
+    "parquet_cells",
+    "rejected_files",
+    "model_incremental",
+    "tokens_merged",
 ]
 
 

@@ -18,10 +18,20 @@ BLOCK_ROWS = 1_000_000
 def _is_small(summary: DataFrame, rows: int) -> bool:
     if summary.count() > rows:
         return False
-    size = summary.agg(F.sum(F.octet_length(F.to_json(F.struct(*summary.columns))))).first()[0]
+    size = summary.agg(json_bytes(summary)).first()[0]
     return (size or 0) <= BROADCAST_BYTES
 
 
+def json_bytes(summary: DataFrame) -> Column:
+    """Aggregate: bytes of all rows as JSON."""
+    return F.sum(F.octet_length(F.to_json(F.struct(*summary.columns))))
+
+
+def fits_broadcast(rows: int, size: int | None) -> bool:
+    """Whether a summary of so many rows and bytes as JSON may be broadcast."""
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def attach(
     big: DataFrame,
     summary: DataFrame,
@@ -33,8 +43,9 @@ def attach(
     broadcast_rows: int | None = None,
     block_rows: int | None = None,
     how: str = "inner",
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join (inner, left_semi or left_anti) that keeps a hot key of `big` spread over many tasks.
+    """Join (inner, left, left_semi or left_anti) that keeps a hot key of `big` spread over many tasks.
 
     `largest` is the size of the largest group of `big`; while that is small, this is a plain join.
     Beyond, a summary counted to be small is broadcast, and a larger one is joined on
@@ -42,15 +53,17 @@ def attach(
     ordinary key, many times for a hot one. `position` is a number of a row of `big` within its key,
     below the key's `extent` in the summary. The block in the join key also keeps Spark from reusing
     the join's partitioning for a later groupBy on more columns, which would put the hot key back
-    into one task.
+    into one task. `small` says whether the summary was already found to be small, or not to be.
     """
     limit = GROUP_LIMIT if limit is None else limit
     broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     block_rows = BLOCK_ROWS if block_rows is None else block_rows
     if largest <= limit:
         return big.join(summary.drop(extent), keys, how)
-    summary = stage(summary, "summary")
-    if _is_small(summary, broadcast_rows):
+    if small is None:
+        summary = stage(summary, "summary")
+        small = _is_small(summary, broadcast_rows)
+    if small:
         return big.join(F.broadcast(summary.drop(extent)), keys, how)
     last = F.floor((F.greatest(F.col(extent), F.lit(1)) - 1) / block_rows)
     blocks = summary.withColumn(

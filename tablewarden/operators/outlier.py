@@ -1,9 +1,10 @@
 """Largest robust deviation of numeric columns and of their logarithms, before and after dropping
 the most deviating row.
 
-The score of a cell is |v - median| / MAD. Both medians of both passes are order statistics, read
-off running sums of value counts, so a column of any size is handled without gathering it. The
-middle three ranks serve the median before and after the drop: the dropped row lies on one side.
+The score of a cell is |v - median| / MAD. Both medians of both passes are order statistics: columns
+of few values are ranked by windows, those of many are counted in histograms (`selection.py`), so a
+column of any size is handled without gathering or sorting it. The middle three ranks serve the
+median before and after the drop: the dropped row lies on one side.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.scores import natural_log
 from tablewarden.functions.text import number
-from tablewarden.operators.joins import with_group_totals
+from tablewarden.operators.joins import attach, fits_broadcast, json_bytes, with_group_totals
 from tablewarden.operators.ordered import running_sums
 from tablewarden.operators.profile import COLUMN_KEY
+from tablewarden.operators.selection import at_ranks
+from tablewarden.session import stage
 from tablewarden.sources.lake import Lake
 
 FORM_KEY = [*COLUMN_KEY, "log"]
+# Distinct values of a column from which on its medians are found by histograms. Below, one task sorts them sooner.
+HOT_VALUES = 2_000_000
 
 
 def numeric_values(lake: Lake, values: DataFrame) -> DataFrame:
@@ -50,6 +55,17 @@ def _middle(low: Column, high: Column, odd: Column) -> Column:
     return F.when(odd, high).otherwise((low + high) / 2)
 
 
+def _median_without(code: Column, low: Column, mid: Column, high: Column, odd: Column) -> Column:
+    """The median without the row of `code`, which is odd if that row lies above the median."""
+    return F.when(code % 2 == 1, F.when(odd, (low + mid) / 2).otherwise(low)).otherwise(
+        F.when(odd, (mid + high) / 2).otherwise(mid)
+    )
+
+
+def _score_after(mad: Column, dev_max: Column) -> Column:
+    return F.when(mad > 0, dev_max / mad).otherwise(F.lit(float("-inf")))
+
+
 def scored_forms(numbers: DataFrame, largest: int) -> DataFrame:
     """(key, log, score, score_p, suspect_row) of every column form that has a score.
 
@@ -99,10 +115,7 @@ def scored_forms(numbers: DataFrame, largest: int) -> DataFrame:
         code=F.min(F.when(F.col("dev") / F.col("mad") == F.col("score"), row * 2 + above)),
     )
     suspect = F.shiftright("code", 1)
-    median_p = F.when(
-        F.col("code") % 2 == 1,
-        F.when(odd, (low + mid) / 2).otherwise(low),
-    ).otherwise(F.when(odd, (mid + high) / 2).otherwise(mid))
+    median_p = _median_without(F.col("code"), low, mid, high, odd)
     df = (
         df.withColumn("n", F.col("n") - (row == suspect).cast("long"))
         .filter(F.col("n") > 0)
@@ -128,19 +141,91 @@ def scored_forms(numbers: DataFrame, largest: int) -> DataFrame:
     return final.select(
         *FORM_KEY,
         "score",
-        F.when(mad_p > 0, F.col("dev_max") / mad_p)
-        .otherwise(F.lit(float("-inf")))
-        .alias("score_p"),
+        _score_after(mad_p, F.col("dev_max")).alias("score_p"),
         "suspect_row",
     )
 
 
+def selected_forms(numbers: DataFrame, largest: int) -> DataFrame:
+    """As `scored_forms`, for columns of many values: only bins of histograms and column summaries are shuffled."""
+    row, x = F.col("row"), F.col("x")
+    odd = F.col("total") % 2 == 1
+    half = F.floor(F.col("total") / 2)
+    low, mid, high = F.col("low"), F.col("mid"), F.col("high")
+    around = {"dev_low": half - 1, "dev_mid": half}
+
+    def lift(summary: DataFrame, *columns: str) -> DataFrame:
+        summary = summary.select(*FORM_KEY, "extent", *columns)
+        return attach(numbers, summary, FORM_KEY, row, "extent", largest, HOT_VALUES, small=small)
+
+    def select(df: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+        return at_ranks(df, FORM_KEY, value, ranks, largest, HOT_VALUES)
+
+    centres = stage(
+        select(numbers, "x", {"low": half - 1, "mid": half, "high": half + 1})
+        .drop("greatest")
+        .withColumn("median", _middle(low, mid, odd))
+        .filter(F.col("median") > float("-inf")),
+        "centres",
+    )
+    small = fits_broadcast(*centres.agg(F.count(F.lit(1)), json_bytes(centres)).first())
+    spread = select(lift(centres, "median").withColumn("dev", F.abs(x - F.col("median"))), "dev", around)
+    scored = stage(
+        centres.join(spread.drop("total", "extent"), FORM_KEY)
+        .withColumn("mad", _middle(F.col("dev_low"), F.col("dev_mid"), odd))
+        .filter(F.col("mad") > 0)
+        .withColumn("score", F.col("greatest") / F.col("mad"))
+        .drop("dev_low", "dev_mid", "greatest"),
+        "scored",
+    )
+    codes = (
+        lift(scored, "median", "mad", "score")
+        .filter(F.abs(x - F.col("median")) / F.col("mad") == F.col("score"))
+        .groupBy(*FORM_KEY)
+        .agg(F.min(row * 2 + (x > F.col("median")).cast("long")).alias("code"))
+    )
+    without = stage(
+        scored.join(codes, FORM_KEY).select(
+            *FORM_KEY,
+            "extent",
+            "score",
+            F.shiftright("code", 1).alias("suspect_row"),
+            _median_without(F.col("code"), low, mid, high, odd).alias("median_p"),
+        ),
+        "without",
+    )
+    # No deviation from an infinite median.
+    left = (
+        lift(without, "suspect_row", "median_p")
+        .withColumn("n", F.col("n") - (row == F.col("suspect_row")).cast("long"))
+        .filter((F.col("n") > 0) & (F.col("median_p") > float("-inf")))
+        .withColumn("dev", F.abs(x - F.col("median_p")))
+    )
+    after = without.join(select(left, "dev", around).drop("extent"), FORM_KEY, "left")
+    mad_p = _middle(F.col("dev_low"), F.col("dev_mid"), odd)
+    return after.select(
+        *FORM_KEY, "score", _score_after(mad_p, F.col("greatest")).alias("score_p"), "suspect_row"
+    )
+
+
+def _all_forms(lake: Lake, values: DataFrame, profiled: DataFrame, largest: int) -> DataFrame:
+    numbers = numeric_values(lake, values)
+    if largest <= HOT_VALUES:
+        return scored_forms(numbers, largest)
+    hot = profiled.filter(F.col("n_distinct") > HOT_VALUES).select(*COLUMN_KEY, "n_rows", F.lit(True).alias("hot"))
+    numbers = stage(
+        attach(numbers, hot, COLUMN_KEY, F.col("row"), "n_rows", largest, HOT_VALUES, how="left"), "numbers"
+    )
+    few = scored_forms(numbers.filter(F.col("hot").isNull()).drop("hot"), HOT_VALUES)
+    return few.union(selected_forms(numbers.filter("hot").drop("hot"), largest))
+
+
 def outlier_measures(lake: Lake, values: DataFrame, profiled: DataFrame, largest: int) -> DataFrame:
     """One row per numeric column with a score: plain type, rows_range, raw and log scores.
 
     A log form without a score counts as infinite, before and after.
     """
-    forms = scored_forms(numeric_values(lake, values), largest)
+    forms = _all_forms(lake, values, profiled, largest)
     raw, log = ~F.col("log"), F.col("log")
     infinite = F.lit(float("inf"))
     both = (

@@ -18,9 +18,10 @@ def spark():
 @pytest.fixture
 def wide(monkeypatch):
     """Treat every group as too large for one task and every summary as too large to broadcast."""
-    from tablewarden.operators import joins, ordered
+    from tablewarden.operators import joins, ordered, outlier
 
     monkeypatch.setattr(ordered, "GROUP_LIMIT", 0)
     monkeypatch.setattr(joins, "GROUP_LIMIT", 0)
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(joins, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(outlier, "HOT_VALUES", 0)

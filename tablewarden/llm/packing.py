@@ -2,8 +2,8 @@
 
 Pieces are dealt into groups of bounded size, and each group is packed by best fit decreasing. Dual
 feasible functions bound the bins a group needs; where its count equals the bound nothing can be
-won inside it. Groups with a gap give up their imperfect bins, others only those that are clearly
-open. What is given up is dealt anew, bin by bin, to fewer groups and packed again; a group keeps the bins it was
+won inside it. Groups with a gap give up every bin that is not full, others those with room for
+more than a few ids. What is given up is dealt anew, bin by bin, to fewer groups and packed again; a group keeps the bins it was
 given when packing again wins none. Rounds end when one group holds all open bins, none are left,
 or the total meets the bound of the whole.
 """
@@ -27,7 +27,7 @@ from tablewarden.session import ship_package, stage
 # Pieces, or bins in later rounds, of a group.
 GROUP = 2048
 # Share of a bin that must be filled for it to stay closed: in a group with a gap, and in another.
-FULL, FULL_CERTIFIED = 0.995, 0.9
+FULL, FULL_CERTIFIED = 1.0, 0.999
 
 
 def document_pieces(

@@ -38,7 +38,7 @@ PIVOT_CHARS = 64
 # Texts of a block of a grid cell, and pairs of texts that a task compares on average.
 BLOCK_TEXTS = 256
 TASK_PAIRS = 4_000_000
-# Groups of characters whose numbers are compared before the texts are.
+# Our choice: groups of characters whose numbers are compared before the texts are.
 LETTER_GROUPS = ("eaiou", "tnsrhl", "0123", "456789")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +48,27 @@ def pieces(items: list, weight, limit: int):
         yield start, len(items)
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold without use: workers live on while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over the batches of a task that gives memory back when it ends."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

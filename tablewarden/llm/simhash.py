@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tablewarden.llm.common import as_bytes, slices
+from tablewarden.llm.common import as_bytes, give_back, slices
 from tablewarden.llm.components import components
 from tablewarden.session import ship_package, stage
 
@@ -51,6 +51,7 @@ def fingerprint_column(text: str, shingle: int = 3):
         for texts in batches:
             found = [fingerprint(t, shingle) for part in slices(texts, texts) for t in as_bytes(part)]
             yield pa.array(np.array(found, np.uint64).view(np.int64))
+        give_back()
 
     return of(text)
 

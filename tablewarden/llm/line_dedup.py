@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import pieces, slices, spans
+from tablewarden.llm.common import pieces, slices, spans, tidied
 from tablewarden.llm.rolling import Rolling, mix
 from tablewarden.session import ship_package, stage
 
@@ -149,7 +149,7 @@ def line_table(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text"))
     return rows.mapInArrow(
-        _line_rows(edits, least_chars),
+        tidied(_line_rows(edits, least_chars)),
         f"_id {kind}, _hash long, line int, h1 long, h2 long, keys array<long>",
     )
 
@@ -209,7 +209,7 @@ def _near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
         .dropDuplicates(["h1", "h2"])
     )
     texts = stage(texts, "texts")
-    variants = texts.select("h1", "h2", "text", "mask").mapInArrow(_variants, "h1 long, h2 long, kind byte, k1 long, k2 long")
+    variants = texts.select("h1", "h2", "text", "mask").mapInArrow(tidied(_variants), "h1 long, h2 long, kind byte, k1 long, k2 long")
     variants = variants.join(wanted.drop("mask"), ["h1", "h2"]).select(
         "k1", "k2", "kind", (F.col("kind") == 0).alias("whole"), F.struct("first", "h1", "h2").alias("o")
     )

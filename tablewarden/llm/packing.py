@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.bestfit import best_fit_decreasing, bin_bound
-from tablewarden.llm.common import slices
+from tablewarden.llm.common import slices, tidied
 from tablewarden.llm.tokens import REMEMBERED, encoder
 from tablewarden.session import ship_package, stage
 
@@ -31,18 +31,26 @@ FULL, FULL_CERTIFIED = 1.0, 0.999
 
 
 def document_pieces(
-    docs: DataFrame, capacity: int, tokenizer: str, ranks: str, remembered: int = REMEMBERED
+    docs: DataFrame, capacity: int, tokenizer: str, ranks: str, remembered: int = REMEMBERED, lasting: bool = True
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each row's ids and a closing id 0.
 
     Documents longer than `capacity` are cut into pieces of it; the first piece takes what is over.
     Null texts count as empty: one piece, of the closing id. Repeated rows are cut each for itself,
     null ids stay null, an empty table gives no rows, other columns are not read. `remembered` words
-    are kept by each worker, at about 200 bytes: fewer cost time, more memory.
+    are kept by each worker, at about 200 bytes: fewer cost time, more memory. Without `lasting` they and
+    the vocabulary go at the end of each task, which costs the next one their making.
     """
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces_of(batches)
+        finally:
+            if not lasting:
+                encoder.cache_clear()
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks, remembered)
         for batch in (part for b in batches for part in slices(b, b.column(1))):
             rows: list[list] = [[], [], [], [], []]
@@ -66,7 +74,7 @@ def document_pieces(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+        tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
 

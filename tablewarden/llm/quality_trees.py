@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tablewarden.llm.common import SPACES, as_bytes, sampled_labels, slices
+from tablewarden.llm.common import SPACES, as_bytes, give_back, sampled_labels, slices
 from tablewarden.session import ship_package
 
 SYMBOLS = b"#*$%&|<>"
@@ -104,6 +104,7 @@ def _text_statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays(
             [*[pa.array(counts[:, i]) for i in range(len(COUNTS))], features], [*COUNTS, "features"]
         )
+    give_back()
 
 
 def text_statistics(text: str) -> Column:
@@ -258,6 +259,7 @@ def _verdicts(docs: DataFrame, row: Column, trees: Trees, least_words: int, thre
         for x in batches:
             rows = np.asarray(x.flatten(), float).reshape(-1, len(FEATURES))
             yield pa.array(model.value.score(rows))
+        give_back()
 
     taken = docs.select(row.alias("_row"), text_statistics("text").alias("_counts"))
     scored = taken.withColumn("_score", score("_counts.features"))

@@ -88,3 +88,29 @@ def test_no_documents(spark):
     for name, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, SF_DIR), "none")
         assert docs.isEmpty(), name
+
+
+def test_packing_leaves_no_words_in_a_worker(spark):
+    """Workers live on: neither vocabulary nor words of the last stage may stay with them."""
+    import pyarrow as pa
+
+    from tablewarden.llm import packing, tokens
+
+    class Docs:
+        """Runs what mapInArrow is given, here instead of in a worker."""
+
+        sparkSession, schema = spark, spark.range(1).withColumnRenamed("id", "doc_id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", None])], ["doc_id", "text"])
+            return sum(b.num_rows for b in task(iter([batch])))
+
+    tokens.encoder.cache_clear()
+    vocabulary = corpus_pipeline.vocabulary()
+    assert packing.document_pieces(Docs(), 8, *vocabulary, lasting=False) == 2
+    assert tokens.encoder.cache_info().currsize == 0
+    assert packing.document_pieces(Docs(), 8, *vocabulary) == 2
+    assert tokens.encoder.cache_info().currsize == 1

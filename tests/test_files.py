@@ -185,3 +185,18 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_tokens(spark, f"{tmp_path}/tokens").count() == 25
     sinks.write_model(findings, f"{tmp_path}/model")
     assert sinks.read_model(spark, f"{tmp_path}/model").count() == 2
+
+
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    """Files cost their opening: few bytes in many files are no work for one task."""
+    from tablewarden.registry_files import write_csv
+
+    rows = spark.range(1_000).select(F.col("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    root = str(tmp_path / "csv")
+    write_csv(rows, root, [F.expr("id div 2"), F.expr("id div 4 % 2")], [-F.col("id")], ["id", "t"])
+    files = list((tmp_path / "csv").glob("*/*/*.csv"))
+    assert len(files) == 500
+    assert len({f.name.split("-")[1] for f in files}) >= 4
+    for f in files:
+        k = int(f.parent.parent.name.removeprefix("_part_0="))
+        assert f.read_text().split() == f"id,t {2 * k + 1},text {2 * k + 1} {2 * k},text {2 * k}".split()

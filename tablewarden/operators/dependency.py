@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.operators import ordered
+from tablewarden.operators.contradictions import contradictions
 from tablewarden.operators.joins import attach
+from tablewarden.session import ship_package
 from tablewarden.sources.lake import Lake
 
 PAIR_KEY = ["table_id", "col_1_idx", "col_2_idx"]
@@ -59,11 +61,11 @@ def violations(lake: Lake, pairs: DataFrame, values: DataFrame, largest: int) ->
     violated counts the determinant values with several dependent values. code is 2 * row + 1 if
     dropping that row repairs its determinant value and 2 * row if not, for the first violating row.
 
-    Tables stay whole in one task while the largest has few enough pair cells; then nothing but hashed
-    rows is shuffled. Beyond, pair cells are grouped wherever they lie.
+    Tables stay whole in one task while the largest has few enough pair cells; then no more than rows
+    is shuffled. Pairs without a violation for the counts alone give no row either way. Beyond, pair cells are grouped wherever they lie.
     """
     if largest <= ordered.GROUP_LIMIT:
-        return _violations_by_table(lake, pairs)
+        return _violations_by_table(lake)
     return _violations_by_value(lake, pairs, values, largest)
 
 
@@ -72,42 +74,20 @@ def _hashes(salt: int) -> Column:
     return F.transform("cells", lambda c: F.when(c.isNotNull(), F.xxhash64(F.lit(salt), c)))
 
 
-def _violations_by_table(lake: Lake, pairs: DataFrame) -> DataFrame:
-    """A row for each cell that is a determinant, which carries the hashes of all later cells.
+def _violations_by_table(lake: Lake) -> DataFrame:
+    """Whole tables go through a task one after the other, as two hashes of each cell.
 
-    Sorted by determinant value, every row sees the first row of its value, so all dependents are
-    compared at once. A value is repaired by dropping the first row that differs if no other does.
+    Numbers of rows are sorted there, a chunk of tables at a time; sorted by Spark, a row for each cell
+    that is a determinant would carry the hashes of all later cells, and spill.
     """
-    wanted = (
-        pairs.filter("open")
-        .groupBy("table_id", "col_1_idx")
-        .agg(F.sort_array(F.collect_list("col_2_idx")).alias("others"))
-        .groupBy("table_id")
-        .agg(F.collect_list(F.struct("col_1_idx", "others")).alias("wanted"))
-    )
+    ship_package(lake.rows.sparkSession)
     # 128 bits tell determinants apart; 64 are enough to compare a dependent with one other.
-    hashed = lake.rows.select("table_id", "row_idx", _hashes(0).alias("x"), _hashes(1).alias("y"))
-    rows = (
-        hashed.repartition("table_id")
-        .join(wanted, "table_id")
-        .select("table_id", "row_idx", "x", "y", F.inline("wanted"))
-        .withColumns({"a_x": F.get("x", F.col("col_1_idx")), "a_y": F.get("y", F.col("col_1_idx"))})
-        .filter(F.col("a_x").isNotNull())
-        .drop("y")
-    )
-    # The hash leads, as a sort compares by it first.
-    value = Window.partitionBy("a_x", "a_y", "col_1_idx", "table_id").orderBy("row_idx")
-    seen = rows.withColumn("first", F.first("row_idx").over(value)).withColumn("known", F.first("x").over(value))
-    # A missing dependent equals nothing.
-    found = (
-        seen.filter(F.col("row_idx") != F.col("first"))
-        .withColumn("col_2_idx", F.explode("others"))
-        .filter(~F.coalesce(F.get("x", F.col("col_2_idx")) == F.get("known", F.col("col_2_idx")), F.lit(False)))
+    hashed = lake.rows.filter(F.col("table_id").isNotNull() & (F.size("cells") > 1)).select(
+        "table_id", F.col("row_idx").cast("long").alias("row_idx"), _hashes(0).alias("x"), _hashes(1).alias("y")
     )
-    per_value = found.groupBy(*PAIR_KEY, "a_x", "a_y").agg(F.min("row_idx").alias("row"), F.count(F.lit(1)).alias("n"))
-    return per_value.groupBy(*PAIR_KEY).agg(
-        F.count(F.lit(1)).alias("violated"),
-        F.min(F.col("row") * 2 + (F.col("n") == 1).cast("long")).alias("code"),
+    tables = hashed.repartition("table_id").sortWithinPartitions("table_id")
+    return tables.mapInArrow(
+        contradictions, "table_id string, col_1_idx int, col_2_idx int, violated long, code long"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.text import base_type, cell_text, quoted
+from tablewarden.operators import ordered
 from tablewarden.operators.ordered import number_rows
 
 CELL_BYTES = 32
@@ -23,10 +25,16 @@ class Lake:
              column order, NULL where a cell is missing.
     columns  (col_idx, col_name, base_type), with a leading table_id unless all tables are cut
              from the same schema.
+    numbered  gives the rows of some tables from their ids, where numbering those alone is less work.
     """
 
     rows: DataFrame
     columns: DataFrame
+    numbered: Callable[[DataFrame], DataFrame] | None = None
+
+    def rows_of(self, tables: DataFrame) -> DataFrame:
+        """Rows of few tables, given by a small DataFrame of ids; more rows where all are there already."""
+        return self.rows if self.numbered is None else self.numbered(tables)
 
     @property
     def uniform(self) -> bool:
@@ -83,22 +91,26 @@ def lake_from_table(
     """Cut one DataFrame into a table per value of `table_key`, rows ordered by `order_by`."""
     kinds, cells = typed_cells(df, columns)
     key_type = df.schema[table_key].dataType
+    # An order column that is a column of the table as well is shuffled once.
+    orders = [c if c in columns else f"_order_{i}" for i, c in enumerate(order_by)]
     keyed = df.select(
         cell_text(F.col(table_key), key_type).alias("table_id"),
-        *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)],
+        *[F.col(c).alias(o) for c, o in zip(order_by, orders, strict=True) if c not in columns],
         *columns,
     )
-    numbered = number_rows(
-        keyed,
-        ["table_id"],
-        [F.col(f"_order_{i}") for i in range(len(order_by))],
-        largest=_table_cells(keyed, ["table_id"]).agg(F.max("cells")).first()[0] or 0,
-    )
-    # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
-    return Lake(
-        numbered.select("table_id", "row_idx", cells.alias("cells")),
-        column_frame(df.sparkSession, kinds),
-    )
+    largest = _table_cells(keyed, ["table_id"]).agg(F.max("cells")).first()[0] or 0
+
+    def rows(source: DataFrame) -> DataFrame:
+        numbered = number_rows(source, ["table_id"], [F.col(o) for o in orders], largest=largest)
+        # Texts are made after the shuffle: typed values are smaller, and few source files are no limit.
+        return numbered.select("table_id", "row_idx", cells.alias("cells"))
+
+    def of_tables(tables: DataFrame) -> DataFrame:
+        return rows(keyed.join(F.broadcast(tables), "table_id", "left_semi"))
+
+    # Rows of larger tables are written when they are numbered.
+    again = of_tables if largest <= ordered.GROUP_LIMIT else None
+    return Lake(rows(keyed), column_frame(df.sparkSession, kinds), again)
 
 
 def lake_from_tables(

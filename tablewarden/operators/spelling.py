@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tablewarden.functions.buckets import token_length_range
 from tablewarden.functions.text import mean_difference_length
+from tablewarden.operators.closest import closest_in_columns
 from tablewarden.operators.joins import attach
 from tablewarden.operators.profile import COLUMN_KEY
 from tablewarden.operators.variants import variant_rows
@@ -46,52 +47,44 @@ LETTER_GROUPS = ("eaiou", "tnsrhl", "0123", "456789")
 
 
 def _short_columns(values: DataFrame) -> DataFrame:
-    """Closest pair and distances without i and without j, computed inside one row per column."""
+    """Closest pair and distances without i and without j, compared inside one row per column by tasks."""
     # Comparing is heavy for few bytes, so the partitions must not be merged by their size.
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = values.repartition(tasks, *COLUMN_KEY).groupBy(*COLUMN_KEY).agg(
         F.sort_array(F.collect_list(F.struct(F.col("first_row").alias("r"), "text", "n"))).alias("v")
     )
 
-    def with_later(x: Column, at: Column) -> Column:
-        return F.transform(
-            F.slice("v", at + 2, F.lit(SHORT_COLUMN)),
-            lambda y: F.struct(
-                F.levenshtein(x["text"], y["text"]).cast("long").alias("d"),
-                x["r"].alias("i"),
-                y["r"].alias("j"),
-            ),
-        )
-
-    # Exploding an array of one keeps the optimizer from repeating its expression wherever the
-    # result is used, which inside the lambdas below would be once per element.
-    paired = gathered.select(
-        "*", F.explode(F.array(F.flatten(F.transform("v", with_later)))).alias("pairs")
-    )
-    best = paired.select("*", F.explode(F.array(F.array_min("pairs"))).alias("best")).filter(
-        F.col("best").isNotNull()
+    ship_package(values.sparkSession)
+    listed = gathered.select(*COLUMN_KEY, "v", F.col("v.text").alias("texts"))
+    kept = [listed.schema[c] for c in (*COLUMN_KEY, "v")]
+    schema = T.StructType(
+        [
+            *kept,
+            T.StructField("at_i", T.IntegerType()),
+            T.StructField("at_j", T.IntegerType()),
+            T.StructField("d", T.LongType()),
+            T.StructField("without_i", T.LongType()),
+            T.StructField("without_j", T.LongType()),
+        ]
     )
+    best = listed.mapInArrow(closest_in_columns, schema)
 
-    def member(end: str) -> Column:
-        return F.get(F.filter("v", lambda x: x["r"] == F.col(f"best.{end}")), F.lit(0))
-
-    def without(end: str) -> Column:
-        dropped = F.col(f"best.{end}")
-        kept = F.filter("pairs", lambda p: (p["i"] != dropped) & (p["j"] != dropped))
-        return F.array_min(F.transform(kept, lambda p: p["d"]))
+    def left(end: str) -> Column:
+        without = F.col(f"without_{end}")
+        return F.when(F.col(f"v{end}.n") > 1, F.col("d")).when(without >= 0, without)
 
     return (
-        best.withColumn("vi", member("i"))
-        .withColumn("vj", member("j"))
+        best.withColumn("vi", F.get("v", F.col("at_i")))
+        .withColumn("vj", F.get("v", F.col("at_j")))
         .select(
             *COLUMN_KEY,
-            F.col("best.d").alias("d"),
-            F.col("best.i").alias("i"),
-            F.col("best.j").alias("j"),
+            "d",
+            F.col("vi.r").alias("i"),
+            F.col("vj.r").alias("j"),
             F.col("vi.text").alias("text_i"),
             F.col("vj.text").alias("text_j"),
-            F.when(F.col("vi.n") > 1, F.col("best.d")).otherwise(without("i")).alias("d_i"),
-            F.when(F.col("vj.n") > 1, F.col("best.d")).otherwise(without("j")).alias("d_j"),
+            left("i").alias("d_i"),
+            left("j").alias("d_j"),
         )
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.scores import natural_log
 from tablewarden.functions.text import number
+from tablewarden.operators import ordered
 from tablewarden.operators.joins import attach, fits_broadcast, json_bytes, with_group_totals
 from tablewarden.operators.ordered import running_sums
 from tablewarden.operators.profile import COLUMN_KEY
@@ -26,8 +27,12 @@ FORM_KEY = [*COLUMN_KEY, "log"]
 HOT_VALUES = 2_000_000
 
 
-def numeric_values(lake: Lake, values: DataFrame) -> DataFrame:
-    """(key, log, x, n, row) of the numbers of possibly numeric columns, raw and as logarithms."""
+def numeric_values(lake: Lake, values: DataFrame, together: bool = False) -> DataFrame:
+    """(key, log, x, n, row) of the numbers of possibly numeric columns, raw and as logarithms.
+
+    With `together` a column is shuffled to one task before the logarithms double its rows, where that
+    is asked for anyway.
+    """
     if lake.uniform:
         numeric = lake.columns.filter(
             F.col("base_type").isin("int64", "float64")
@@ -35,15 +40,16 @@ def numeric_values(lake: Lake, values: DataFrame) -> DataFrame:
         values = values.join(F.broadcast(numeric), "col_idx", "left_semi")
     x = number(F.col("text"))
     forms = F.array(
-        F.struct(F.lit(False).alias("log"), x.alias("x")),
-        F.struct(F.lit(True).alias("log"), natural_log(x).alias("x")),
+        F.struct(F.lit(False).alias("log"), F.col("x").alias("x")),
+        F.struct(F.lit(True).alias("log"), natural_log(F.col("x")).alias("x")),
     )
     present = (F.col("n") - F.col("n_missing")).alias("n")
-    return (
-        values.filter(F.col("n") > F.col("n_missing"))
-        .select(*COLUMN_KEY, present, F.col("first_present").alias("row"), F.inline(forms))
-        .filter(F.col("x").isNotNull())
-    )
+    numbers = values.filter(F.col("n") > F.col("n_missing")).select(
+        *COLUMN_KEY, present, F.col("first_present").alias("row"), x.alias("x")
+    ).filter(F.col("x").isNotNull())
+    if together:
+        numbers = numbers.repartition(*COLUMN_KEY)
+    return numbers.select(*COLUMN_KEY, "n", "row", F.inline(forms)).filter(F.col("x").isNotNull())
 
 
 def _at_rank(value: str, rank: Column) -> Column:
@@ -209,9 +215,9 @@ def selected_forms(numbers: DataFrame, largest: int) -> DataFrame:
 
 
 def _all_forms(lake: Lake, values: DataFrame, profiled: DataFrame, largest: int) -> DataFrame:
-    numbers = numeric_values(lake, values)
     if largest <= HOT_VALUES:
-        return scored_forms(numbers, largest)
+        return scored_forms(numeric_values(lake, values, largest <= ordered.GROUP_LIMIT), largest)
+    numbers = numeric_values(lake, values)
     hot = profiled.filter(F.col("n_distinct") > HOT_VALUES).select(*COLUMN_KEY, "n_rows", F.lit(True).alias("hot"))
     numbers = stage(
         attach(numbers, hot, COLUMN_KEY, F.col("row"), "n_rows", largest, HOT_VALUES, how="left"), "numbers"

@@ -8,7 +8,9 @@ column of any size is compared all with all:
 * distance 1 in longer columns: texts one edit apart share a text with one character left out, so
   grouping these variants finds them with a number of rows linear in the texts. A group is as large
   as the alphabet times the length at most, and three of its members stand for all of its pairs.
-  Long texts group on hashes of the variants, so a variant takes 16 bytes rather than the text's;
+  Long texts group on hashes of the variants, so a variant takes 16 bytes rather than the text's.
+  The first rows of a column are grouped first: a pair among them is the first of the column unless
+  a text before it has a partner further down, which the few such texts tell;
 * what is still open then: a bound from the shortest texts and from neighbours in sorted order, and
   a grid join on the length and on the distances to two pivot texts, which cannot differ by more
   than the bound. Cells are cut into blocks, and a task compares blocks of bounded size.
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from tablewarden.functions.buckets import token_length_range
 from tablewarden.functions.text import mean_difference_length
 from tablewarden.operators.closest import closest_in_columns
-from tablewarden.operators.joins import attach
+from tablewarden.operators.joins import BROADCAST_ROWS, attach, fits_broadcast, json_bytes
 from tablewarden.operators.profile import COLUMN_KEY
 from tablewarden.operators.variants import variant_rows
 from tablewarden.session import ship_package, stage
@@ -34,6 +36,9 @@ SHORT_COLUMN = 64
 SHORT_CHARS = 8_192
 # Longer texts must share a half with another text before their variants are built.
 LONG_TEXT = 64
+# Rows of a column whose texts are grouped first, and texts before their first pair that are looked for further down.
+LEAD_ROWS = 20_000
+EARLY_TEXTS = 256
 # Pivots are cut to this many characters, and distances to them are counted up to twice as many.
 PIVOT_CHARS = 64
 # Texts of a block of a grid cell, and pairs of texts that a task compares on average.
@@ -92,35 +97,36 @@ def _short_columns(values: DataFrame) -> DataFrame:
 # ---- distance 1 ----------------------------------------------------------------------------------
 
 
-def _with_close_half(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts that share their first or second half with another one, cut for either length.
+def _halves(texts: DataFrame, *fields: str) -> DataFrame:
+    """(fields, half): hashes of the first and the second half of every text, cut for either length.
 
     One edit leaves one half as it is. `m` is the length of the shorter text of a pair.
     """
     length = F.length("text")
-    halves = texts.select(
-        *keys,
-        "first_row",
-        "text",
-        F.explode(F.array(length, length - 1)).alias("m"),
+    return texts.select(
+        *fields, F.col("text").alias("_cut"), F.explode(F.array(length, length - 1)).alias("m")
     ).select(
-        *keys,
-        "first_row",
+        *fields,
         F.inline(
             F.array(
                 F.struct(
-                    F.xxhash64("m", F.lit("first"), F.substring("text", 1, F.floor(F.col("m") / 2).cast("int"))).alias("half")
+                    F.xxhash64("m", F.lit("first"), F.substring("_cut", 1, F.floor(F.col("m") / 2).cast("int"))).alias("half")
                 ),
                 F.struct(
                     F.xxhash64(
                         "m",
                         F.lit("second"),
-                        F.right("text", (F.col("m") - F.floor(F.col("m") / 2)).cast("int")),
+                        F.right("_cut", (F.col("m") - F.floor(F.col("m") / 2)).cast("int")),
                     ).alias("half")
                 ),
             )
         ),
     )
+
+
+def _with_close_half(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts that share their first or second half with another one."""
+    halves = _halves(texts, *keys, "first_row")
     shared = (
         halves.groupBy(*keys, "half").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
     )
@@ -437,33 +443,96 @@ def closest_pairs(
 # ---- long columns --------------------------------------------------------------------------------
 
 
-def _long_columns(values: DataFrame, largest: int) -> DataFrame:
+def _clear_of(end: str, best: str) -> Column:
+    """Aggregate: whether a pair does without an end of the best one."""
+    return F.bool_or((F.col("i") != F.col(f"{best}.{end}")) & (F.col("j") != F.col(f"{best}.{end}")))
+
+
+def _partners_below(early: DataFrame, rest: DataFrame) -> DataFrame:
+    """(key, i, j): pairs at distance 1 of the few early texts with all texts of later rows."""
+    columns = F.broadcast(early.select(*COLUMN_KEY).distinct())
+    halves = _halves(early.withColumnRenamed("first_row", "i"), *COLUMN_KEY, "i", "text").withColumnRenamed("text", "_early")
+    return (
+        _halves(rest.join(columns, COLUMN_KEY, "left_semi"), *COLUMN_KEY, "first_row", "text")
+        .join(F.broadcast(halves), [*COLUMN_KEY, "half"])
+        .filter(F.expr("levenshtein(text, _early, 1)") == 1)
+        .select(*COLUMN_KEY, "i", F.col("first_row").alias("j"))
+        .distinct()
+    )
+
+
+def leading_pairs(values: DataFrame, extents: DataFrame, largest: int, lead_rows: int, early_texts: int) -> DataFrame:
+    """(key, i, j) with i < j: pairs at distance 1 as `adjacent_pairs` has them, or fewer of a column:
+    its first pair, one without i and one without j, if all three are known without the others.
+
+    Among the first rows of a column all pairs are found. No earlier pair has both rows there, so only
+    texts before the first pair's i can have one, with a text of a later row. Columns where that leaves
+    something open, or has too many texts to look for, are grouped as a whole.
+    """
+    further = stage(extents.filter(F.col("_extent") > lead_rows), "further")
+    if further.isEmpty():
+        return adjacent_pairs(values, COLUMN_KEY)
+    lead = values.filter(F.col("first_row") < lead_rows)
+    pairs = stage(adjacent_pairs(lead, COLUMN_KEY), "lead_pairs")
+    first = pairs.groupBy(*COLUMN_KEY).agg(F.min(F.struct("i", "j")).alias("p"))
+    first = stage(first.join(further.select(*COLUMN_KEY), COLUMN_KEY, "left_semi"), "lead_first")
+    before = (
+        lead.join(first, COLUMN_KEY).filter(F.col("first_row") < F.col("p.i")).select(*COLUMN_KEY, "first_row", "text")
+    )
+    counts = before.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("c"))
+    many = stage(counts.filter(F.col("c") > early_texts).select(*COLUMN_KEY), "many_early")
+    early = stage(before.join(many, COLUMN_KEY, "left_anti"), "early")
+    rows, size = early.agg(F.count(F.lit(1)), json_bytes(early)).first()
+    if not fits_broadcast(rows, size):
+        many = many.union(early.select(*COLUMN_KEY)).distinct()
+    elif rows:
+        rest = values.filter(F.col("first_row") >= lead_rows)
+        pairs = stage(pairs.unionByName(_partners_below(early, rest)), "known_pairs")
+    best = pairs.groupBy(*COLUMN_KEY).agg(F.min(F.struct("i", "j")).alias("p"))
+    known = (
+        pairs.join(best, COLUMN_KEY)
+        .groupBy(*COLUMN_KEY)
+        .agg(_clear_of("i", "p").alias("one_i"), _clear_of("j", "p").alias("one_j"))
+        .filter("one_i AND one_j")
+        .join(many, COLUMN_KEY, "left_anti")
+    )
+    unknown = stage(further.join(known, COLUMN_KEY, "left_anti"), "unknown")
+    if unknown.isEmpty():
+        return pairs
+    whole = attach(values, unknown, COLUMN_KEY, F.col("first_row"), "_extent", largest, how="left_semi")
+    rest = pairs.join(unknown.select(*COLUMN_KEY), COLUMN_KEY, "left_anti")
+    return rest.unionByName(adjacent_pairs(stage(whole, "unknown_texts"), COLUMN_KEY))
+
+
+def _long_columns(
+    values: DataFrame, largest: int, lead_rows: int | None = None, early_texts: int | None = None
+) -> DataFrame:
     """The same fields as `_short_columns`, for columns with any number of distinct texts."""
-    adjacent = stage(adjacent_pairs(values, COLUMN_KEY), "adjacent")
+    lead_rows = LEAD_ROWS if lead_rows is None else lead_rows
+    early_texts = EARLY_TEXTS if early_texts is None else early_texts
+    extents = stage(values.groupBy(*COLUMN_KEY).agg((F.max("first_row") + 1).alias("_extent")), "extents")
+    adjacent = stage(leading_pairs(values, extents, largest, lead_rows, early_texts), "adjacent")
     first = adjacent.groupBy(*COLUMN_KEY).agg(F.min(F.struct("i", "j")).alias("p"))
     settled = first.select(
         *COLUMN_KEY, F.lit(1).cast("long").alias("d"), F.col("p.i").alias("i"), F.col("p.j").alias("j"),
         F.lit(None).cast("long").alias("d_i"), F.lit(None).cast("long").alias("d_j"), F.lit(False).alias("searched"),
     )
-    extents = values.groupBy(*COLUMN_KEY).agg((F.max("first_row") + 1).alias("_extent"))
-    apart = attach(
-        values,
-        settled.select(*COLUMN_KEY).join(extents, COLUMN_KEY),
-        COLUMN_KEY,
-        F.col("first_row"),
-        "_extent",
-        largest,
-        how="left_anti",
-    )
-    if apart.isEmpty():
+    beyond = stage(extents.join(settled.select(*COLUMN_KEY), COLUMN_KEY, "left_anti"), "beyond")
+    if beyond.isEmpty():
         closest = stage(settled, "closest")
     else:
+        apart = attach(values, beyond, COLUMN_KEY, F.col("first_row"), "_extent", largest, how="left_semi")
         found = closest_pairs(stage(apart, "apart"), COLUMN_KEY, largest)
         closest = stage(settled.unionByName(found.withColumn("searched", F.lit(True))), "closest")
 
     # Texts and counts of both rows: (key, first_row) identifies a text, so this join has no hot key.
+    wanted = closest.select(*COLUMN_KEY, F.explode(F.array("i", "j")).alias("first_row"))
+    if closest.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    both = stage(values.join(wanted, [*COLUMN_KEY, "first_row"], "left_semi"), "both_ends")
+
     def end(name: str) -> DataFrame:
-        return values.select(
+        return both.select(
             *COLUMN_KEY,
             F.col("first_row").alias(name),
             F.col("text").alias(f"text_{name}"),

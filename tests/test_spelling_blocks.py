@@ -80,3 +80,38 @@ def test_columns_of_whole_documents(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     found = Measured(lake_from_tables({"d": (df, ["k"], ["text"])})).se()
     assert [(r.mpd, r.i, r.j) for r in found.filter(F.col("col_idx") == 0).collect()] == [(2.0, 2, 8)]
+
+
+def test_first_rows_tell_the_first_pair_of_a_column(spark):
+    """Whatever number of rows is grouped first, pairs whose partner comes later are not lost."""
+    rng = random.Random(11)
+    schema = "table_id string, col_idx int, first_row long, text string, n long"
+    columns = []
+    for col in range(6):
+        texts = list(dict.fromkeys("".join(rng.choices("abcdef", k=rng.randint(4, 7))) for _ in range(90)))
+        columns.append(texts[:4] + [t for t in texts[4:] if all(brute.edit_distance(t, u) > 1 for u in texts[:4])])
+        columns[-1].append(texts[col % 3] + "x")
+    columns.append(["p" * k for k in range(1, 80, 2)])  # nothing one apart
+    columns.append(["one", "two", *("word" * k for k in range(2, 40)), "tow", "on"])
+    rows = [("t", c, k, text, 1) for c, texts in enumerate(columns) for k, text in enumerate(texts)]
+    values = spark.createDataFrame(rows, schema)
+    expected = {}
+    for c, texts in enumerate(columns):
+        d, i, j = brute.closest(texts)
+        expected[c] = (d, i, j, *(brute.closest(brute.without(texts, end))[0] for end in (i, j)))
+    for lead, early in ((20, 64), (20, 0)):
+        found = spelling._long_columns(values, 100, lead, early).collect()
+        assert {r.col_idx: (r.d, r.i, r.j, r.d_i, r.d_j) for r in found} == expected, (lead, early)
+        for r in found:
+            assert (r.text_i, r.text_j) == (columns[r.col_idx][r.i], columns[r.col_idx][r.j])
+
+
+def test_few_rows_are_grouped_where_the_first_ones_have_a_pair(spark, monkeypatch):
+    """A column of numbers is not grouped as a whole."""
+    values = spark.range(500).selectExpr("'t' AS table_id", "0 AS col_idx", "id AS first_row", "string(id) AS text", "1L AS n")
+    grouped = []
+    whole = spelling.adjacent_pairs
+    monkeypatch.setattr(spelling, "LEAD_ROWS", 20)
+    monkeypatch.setattr(spelling, "adjacent_pairs", lambda texts, keys: grouped.append(texts.count()) or whole(texts, keys))
+    assert [tuple(r)[2:5] for r in spelling._long_columns(values, 500).collect()] == [(1, 0, 1)]
+    assert grouped == [20]

@@ -20,6 +20,10 @@ VISIBLE_PATTERN = r"^[!-~]+\z"
 WHITESPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+# The same without the space and the line break, which most texts have alone.
+OTHER_WHITESPACE_CLASS = (
+    r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 
 
 def is_alnum(text: Column) -> Column:
@@ -33,8 +37,14 @@ def is_numeric_text(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Pieces between runs of Unicode whitespace, without empty ones."""
     pieces = F.filter(F.split(text, WHITESPACE_CLASS + "+"), lambda t: t != "")
+    # Cutting at a fixed character takes no pattern.
+    plain = F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")
     # Most cells are one word.
-    return F.when(is_one_token(text), F.array(text)).otherwise(pieces)
+    return (
+        F.when(text.rlike(VISIBLE_PATTERN), F.array(text))
+        .when(~text.rlike(OTHER_WHITESPACE_CLASS), plain)
+        .otherwise(pieces)
+    )
 
 
 def is_one_token(text: Column) -> Column:

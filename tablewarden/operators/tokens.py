@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.buckets import prevalence_range
 from tablewarden.functions.text import MISSING_TEXT, is_one_token, tokens
 from tablewarden.operators.profile import COLUMN_KEY
+from tablewarden.session import stage
 
 
 def table_tokens(values: DataFrame) -> DataFrame:
@@ -52,6 +53,7 @@ def token_stats(per_table: DataFrame) -> DataFrame:
 def lake_token_means(per_table: DataFrame, n_tables: int | None = None) -> DataFrame:
     """(token, cnt): occurrences divided by the number of tables."""
     if n_tables is None:
+        per_table = stage(per_table, "table_tokens")  # read twice
         n_tables = token_stats(per_table).first()["n_tables"]
     return merged_tokens(per_table).select(
         "token", (F.col("cnt").cast("double") / F.lit(n_tables)).alias("cnt")

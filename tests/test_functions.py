@@ -12,6 +12,8 @@ from tablewarden.functions.text import (
     number,
     tokens,
 )
+from tablewarden.operators import tokens as token_counts
+from tablewarden.session import stage
 
 
 def apply(spark, values, kind, expression):
@@ -59,6 +61,11 @@ def test_tokens(spark):
     assert apply(spark, values, "string", tokens) == [v.split() for v in values]
 
 
+def test_tokens_of_texts_with_and_without_rare_spaces(spark):
+    values = ["", " ", "a", "é\n b", "\n\n", " a  b ", "a\tb c", "a\u00a0b", "größe x\u2003y\nz", "a\x1fb", None]
+    assert apply(spark, values, "string", tokens) == [None if v is None else v.split() for v in values]
+
+
 def test_token_difference(spark):
     df = spark.createDataFrame([("a bb c", "a ddd c"), ("a b", "b a"), ("", "abc")], "a string, b string")
     found = df.select(mean_difference_length(F.col("a"), F.col("b"))).collect()
@@ -76,3 +83,12 @@ def test_scores(spark):
 
 def test_file_stem(spark):
     assert apply(spark, ["/a/b/c.csv", "x.tar.gz", "plain"], "string", file_stem) == ["c", "x.tar", "plain"]
+
+
+def test_means_read_the_tokens_once(spark, monkeypatch):
+    """Counts per table are written down before they are both counted and added up."""
+    staged = []
+    monkeypatch.setattr(token_counts, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    per_table = spark.createDataFrame([("a", "x", 2), ("b", "x", 1), ("b", "y", 1)], "table_id string, token string, cnt long")
+    found = {r.token: r.cnt for r in token_counts.lake_token_means(per_table).collect()}
+    assert found == {"x": 1.5, "y": 0.5} and staged == ["table_tokens"]

@@ -102,18 +102,11 @@ def lookup_rows(lake: Lake, candidates: DataFrame) -> DataFrame:
     """(table_id, row_idx, cells) of the suspect rows of a stage table of candidates.
 
     The lake stays where it is while the counted row keys are few enough to broadcast; beyond, the
-    keys are unique rows, so the shuffle has no hot key. Tables without a candidate are left out
-    before rows are numbered, while those with one are few enough.
+    keys are unique rows, so the shuffle has no hot key. A lake that is numbered anew joins tables
+    with the lists of their suspect rows, and makes texts of these rows alone.
     """
-    rows = lake.rows
-    if lake.numbered is not None:
-        tables = stage(candidates.select("table_id").distinct(), "candidate_tables")
-        if tables.count() <= LOOKUP_ROWS:
-            rows = lake.rows_of(tables)
     keys = candidates.select("table_id", F.col("suspect_row").alias("row_idx")).distinct()
-    if candidates.count() <= LOOKUP_ROWS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, ROW_KEY, "left_semi")
+    return lake.rows_at(keys, candidates.count() <= LOOKUP_ROWS)
 
 
 def _with_cells(

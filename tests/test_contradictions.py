@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.operators import contradictions as module
+from tablewarden.plans import detect
 from tablewarden.plans.detect import lookup_rows
 from tablewarden.sources.lake import lake_from_table
 
@@ -68,3 +69,17 @@ def test_cut_and_lookup(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Window [") :]
     assert "Join LeftSemi" in below
+
+
+def test_lookup_of_many_rows_shuffles_no_texts(spark, monkeypatch):
+    """Beyond the broadcast, tables meet their suspect rows by the key they are numbered by."""
+    monkeypatch.setattr(detect, "LOOKUP_ROWS", 0)
+    df = spark.createDataFrame([(k % 5, 9 - k, f"v{k}") for k in range(10)], "k int, o int, v string")
+    lake = lake_from_table(df, "k", ["o"], ["o", "v"])
+    candidates = spark.createDataFrame([("1", 1), ("1", 1), ("3", 0), ("none", 0)], "table_id string, suspect_row long")
+    found = lookup_rows(lake, candidates)
+    rows = sorted(tuple(r) for r in found.select("table_id", "row_idx", F.col("cells")[1]).collect())
+    assert rows == [("1", 1, "v1"), ("3", 0, "v8")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_contains") < plan.index("Window [") and "LeftSemi, ((table_id" not in plan
+    assert "cells" in plan.split("Window [")[0] and "AS cells" not in plan.split("Window [")[1]

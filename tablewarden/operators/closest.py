@@ -2,7 +2,8 @@
 
 Runs on Arrow batches inside tasks. A distance is counted by bits: a machine word holds one column of
 the table of distances (Myers 1999, Hyyro 2003), so the pairs of a batch advance together, one
-character at a time. Texts longer than a word are compared one pair at a time, by long integers.
+character at a time. Texts longer than a word are compared one pair at a time, by long integers, unless
+their lengths alone keep them from being closest, whichever text is left out.
 """
 
 from __future__ import annotations
@@ -74,7 +75,35 @@ def short_distances(codes: np.ndarray, sizes: np.ndarray, one: np.ndarray, two:
     return out
 
 
-def _distances(texts: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def _long_distances(
+    texts: list[str], sizes: np.ndarray, one: np.ndarray, two: np.ndarray, words: np.ndarray, out: np.ndarray
+) -> None:
+    """Distances of the pairs of one column that are not of words, into `out`.
+
+    A pair whose lengths differ by more than the closest known pair without any given text is apart has
+    that difference instead: it is neither closest nor closest without a text.
+    """
+    without = np.full(two[-1] + 1 - one[0], np.iinfo(np.int64).max)
+
+    def note(at: int) -> None:
+        a, b = one[at] - one[0], two[at] - one[0]
+        kept = without[a], without[b]
+        np.minimum(without, out[at], out=without)
+        without[a], without[b] = kept
+
+    for at in np.flatnonzero(words):
+        note(at)
+    out[~words] = np.abs(sizes[one] - sizes[two])[~words]
+    long = np.flatnonzero(~words)
+    # Like and short texts first: they are sooner compared, and closer.
+    for at in long[np.lexsort((sizes[one[long]] + sizes[two[long]], out[long]))]:
+        if out[at] <= without.max():
+            out[at] = long_distance(texts[one[at]], texts[two[at]])
+            note(at)
+
+
+def _distances(texts: list[str], one: np.ndarray, two: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Distances of all pairs; with the places where the pairs of columns begin, only of those that may be wanted."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     short = sizes <= WORD
     width = -(-int(sizes[short].max(initial=0)) // 8) * 8
@@ -85,8 +114,14 @@ def _distances(texts: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray
     out = np.empty(len(one), np.int64)
     words = short[one] & short[two]
     out[words] = short_distances(codes, sizes, one[words], two[words])
-    for at in np.flatnonzero(~words):
-        out[at] = long_distance(texts[one[at]], texts[two[at]])
+    if starts is None:
+        for at in np.flatnonzero(~words):
+            out[at] = long_distance(texts[one[at]], texts[two[at]])
+        return out
+    ends = np.append(starts[1:], len(one))
+    for column in np.unique(np.searchsorted(starts, np.flatnonzero(~words), "right") - 1):
+        pairs = slice(starts[column], ends[column])
+        _long_distances(texts, sizes, one[pairs], two[pairs], words[pairs], out[pairs])
     return out
 
 
@@ -138,8 +173,9 @@ def closest_in_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             one = np.concatenate([p[0] for p in places]) + base
             two = np.concatenate([p[1] for p in places]) + base
             lo, hi = firsts[taken[0]], firsts[taken[-1]] + sizes[taken[-1]]
-            d = _distances(texts[lo:hi], one - lo, two - lo)
-            best, d_i, d_j = _closest(np.append(0, np.cumsum(counts))[:-1], one, two, d)
+            begins = np.append(0, np.cumsum(counts))[:-1]
+            d = _distances(texts[lo:hi], one - lo, two - lo, begins)
+            best, d_i, d_j = _closest(begins, one, two, d)
             start = firsts[taken]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -51,6 +51,24 @@ def test_closest_in_columns(monkeypatch, pairs):
     assert got == expected
 
 
+def test_long_pairs_that_cannot_be_closest_are_not_compared(monkeypatch):
+    draw = random.Random(8)
+    columns = [["".join(draw.choice("abc") for _ in range(draw.randint(0, 180))) for _ in range(k % 7)] for k in range(40)]
+    compared = []
+    whole = module.long_distance
+    monkeypatch.setattr(module, "long_distance", lambda a, b: compared.append((a, b)) or whole(a, b))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(columns, pa.list_(pa.string()))], names=["k", "texts"])
+    got = {r.pop("k"): tuple(r.values()) for out in module.closest_in_columns([batch]) for r in out.to_pylist()}
+    expected, long = {}, 0
+    for k, texts in enumerate(columns):
+        found = sorted((distance(texts[i], texts[j]), i, j) for j in range(len(texts)) for i in range(j))
+        long += sum(max(len(texts[i]), len(texts[j])) > 64 for _, i, j in found)
+        if found:
+            d, i, j = found[0]
+            expected[k] = (i, j, d, *(min((p[0] for p in found if end not in p[1:]), default=-1) for end in (i, j)))
+    assert got == expected and len(compared) < long
+
+
 def test_short_columns_compare_in_batches(spark):
     """Pairs are compared many at a time, and missing second distances stay missing."""
     rows = [("t", 0, "abc", 1, 4), ("t", 0, "abd", 2, 1), ("u", 0, "x", 1, 0), ("t", 1, "a", 1, 0), ("t", 1, "bb", 1, 3), ("t", 1, "bc", 1, 9)]

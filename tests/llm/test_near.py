@@ -86,3 +86,62 @@ def test_stage_links_by_simhash_as_well(spark):
     kept = corpus_pipeline.simhash_dedup(spark, df, "")
     assert Counter(i for i, in rows_of(kept, "doc_id")) == Counter([0, 9])
     assert corpus_pipeline.simhash_dedup(spark, df.limit(0), "").isEmpty()
+
+
+def linked_firsts(rows, width=5, bits=3):
+    """Smallest ids of the groups: similar sets, and any two of a SimHash group alike with repeats counted."""
+    tied = brute.Sets()
+    for i, root in enumerate(brute.near_groups(rows, width)):
+        tied.tie(i, root)
+    grams = []
+    for _, text in rows:
+        words = brute.WORD.findall((text or "").lower())
+        grams.append(Counter(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else Counter())
+    prints = [brute.simhash(t, width) for _, t in rows]
+    near = brute.Sets()
+    for i, a in enumerate(prints):
+        near.root(i)
+        for j, b in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= bits:
+                near.tie(i, j)
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if near.root(i) == near.root(j) and 9 * (a & b).total() >= 4 * (a.total() + b.total()):
+                tied.tie(i, j)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(tied.root(i), []).append(doc)
+    return Counter(min((d for d in ids if d is not None), default=None) for ids in groups.values())
+
+
+def test_texts_unlike_the_first_of_their_simhash_group_are_linked_too(spark):
+    """Repeats of one passage, 40 to 150 times, with rests of their own: equal or close fingerprints, all
+    counts apart from the first one's but not from each other's."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for lead, times in ((0, (40, 60, 66, 70, 100, 150, 155)), (100, (30, 31, 60, 58))):
+        passage = [str(w) for w in draw.integers(0, 10**6, 21)]
+        for k, n in enumerate(times):
+            rows.append((lead + k, " ".join([*passage * n, *map(str, draw.integers(0, 10**6, 30 + n))])))
+    rows += [(200, rows[1][1]), (None, rows[5][1]), (201, " ".join(map(str, draw.integers(0, 10**6, 60))))]
+    rows += [(202, ""), (203, None), (204, "one"), (204, "one"), (205, "ONE ")]
+    expected = linked_firsts(rows)
+    assert not {2, 3, 103} & set(expected) and {0, 1, 4, 5, 100, 102} <= set(expected)
+    df = spark.createDataFrame([rows[i] for i in draw.permutation(len(rows))], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.simhash_dedup(spark, df, "")
+    assert Counter(i for i, in rows_of(kept, "doc_id")) == expected
+
+
+def test_stage_keeps_one_of_each_linked_group(spark, copies):
+    rows, df = copies
+    kept = corpus_pipeline.simhash_dedup(spark, df, "")
+    assert Counter(i for i, in rows_of(kept, "doc_id")) == linked_firsts(rows)
+
+
+def test_repeated_shingles_are_elements_of_their_own():
+    texts = [b"a b c d e a b c d e a b c d e", b"", b"x y", b"a b c d e a b c d e"]
+    owner, h = near_dedup._shingles(texts, 5, True)
+    assert np.bincount(owner, minlength=4).tolist() == [11, 0, 1, 6]
+    assert len(set(h[owner == 0])) == 11 and set(h[owner == 3]) < set(h[owner == 0])
+    once, distinct = near_dedup._shingles(texts, 5)
+    assert np.bincount(once, minlength=4).tolist() == [5, 0, 1, 5] and set(distinct) <= set(h)

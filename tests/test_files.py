@@ -200,3 +200,25 @@ def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
     for f in files:
         k = int(f.parent.parent.name.removeprefix("_part_0="))
         assert f.read_text().split() == f"id,t {2 * k + 1},text {2 * k + 1} {2 * k},text {2 * k}".split()
+
+
+ODD_TEXTS = ['say "hi"', "a,b", "two\nlines", "cr\rhere", " led", "trail ", "", None, "\\", "#x", "é 😀", '"', "-", "\t"]
+
+
+def test_tasks_write_the_files_that_sparks_writer_writes(spark, tmp_path, monkeypatch):
+    from tablewarden import registry_files
+
+    rows = [(k % 3 or None, f"f={k % 2}/x", k, text, float(k)) for k, text in enumerate(ODD_TEXTS * 2)]
+    df = spark.createDataFrame(rows, "one int, `two d` string, k int, `the,text` string, x double").repartition(5)
+
+    def written(name):
+        write = (df, str(tmp_path / name), [F.col("one"), F.col("`two d`")], [-F.col("k")], ["the,text", "k", "x"])
+        registry_files.write_csv(*write)
+        registry_files.write_csv(write[0].limit(0), str(tmp_path / f"{name}-none"), *write[2:])
+        assert scan_lake(spark, str(tmp_path / f"{name}-none")).lake.rows.isEmpty()
+        files = [f for f in (tmp_path / name).rglob("*.csv") if not f.name.startswith(".")]
+        return {str(f.parent.relative_to(tmp_path / name)): f.read_bytes() for f in files}
+
+    by_tasks = written("tasks")
+    monkeypatch.setattr(registry_files, "is_local", lambda *_: False)
+    assert by_tasks == written("spark") and len(by_tasks) == 6

@@ -222,3 +222,36 @@ def test_tasks_write_the_files_that_sparks_writer_writes(spark, tmp_path, monkey
     by_tasks = written("tasks")
     monkeypatch.setattr(registry_files, "is_local", lambda *_: False)
     assert by_tasks == written("spark") and len(by_tasks) == 6
+
+
+def test_whole_files_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Files that lie in one split are parsed where they are read, cut ones by their lines; records go on over batches."""
+    from tablewarden.sources import files
+
+    body = "".join(f'{k},"x\n""{k}"" ,\n\n",{k}.50\n\n' for k in range(40))
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("n,t,x\n" + body)
+    (tmp_path / "plain.csv").write_text("n,n,\n" + "".join(f"{k},,{k}\n" for k in range(60)))
+    (tmp_path / "open.csv").write_text("a\n1\n" + '"2\n' * 21)
+    (tmp_path / "wide.csv").write_text("a\n" + "1\n" * 90 + "1,2\n")
+    (tmp_path / "lines.csv").write_text("\n\n\n")
+
+    def scanned():
+        scan = scan_lake(spark, str(tmp_path))
+        rows = sorted((r.table_id.rsplit("/", 1)[-1], r.row_idx, list(r.cells)) for r in scan.lake.rows.collect())
+        return rows, sorted(tuple(r)[1:] for r in scan.lake.columns.collect()), sorted((r.path[-8:], r.error) for r in scan.rejected.collect())
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        cut = scanned()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(files, "_scan_cut", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        whole = scanned()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole == cut and len(cut[0]) == 2 * 40 + 60
+    assert cut[0][1] == ("0.csv", 1, ["1", 'x\n"1" ,\n\n', "1.5"])
+    assert [error for _, error in cut[2]] == ["no columns", "a quote is not closed", "a row is longer than the header"]

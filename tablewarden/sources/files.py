@@ -59,6 +59,8 @@ SPLIT_SCHEMA = (
 BROADCAST_FILES = 500_000
 # Bytes that a file counts for beside its own where files are shared out to tasks.
 OPENING_BYTES = 1 << 20
+# Tasks for each core that list folders.
+LISTING_TASKS = 32
 
 
 # Errors of files that are no Parquet files or have types that are not read.
@@ -383,18 +385,17 @@ def scan_csv(spark: SparkSession, root: Root, file_type: str = "csv", typed: boo
     with an open quote.
     """
     ship_package(spark)
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{file_type}")
-        .option("lineSep", "\n")
-        .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("table_id"),
-            F.expr("_metadata.file_block_start = 0 AND _metadata.file_block_length = _metadata.file_size").alias("whole"),
-            F.col("_metadata.file_block_start").alias("_block_start"),
-            F.monotonically_increasing_id().alias("_at"),
-            F.regexp_replace("value", "\r$", "").alias("line"),
-        )
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{file_type}").option("lineSep", "\n")
+    # Folders are listed when the reader is made, else by a task each up to 10,000.
+    listing = str(LISTING_TASKS * spark.sparkContext.defaultParallelism)
+    with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", listing):
+        texts = reader.text(root)
+    lines = texts.select(
+        F.col("_metadata.file_path").alias("table_id"),
+        F.expr("_metadata.file_block_start = 0 AND _metadata.file_block_length = _metadata.file_size").alias("whole"),
+        F.col("_metadata.file_block_start").alias("_block_start"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
     )
     # Written once for every reader of the lake, so in few bytes.
     with _setting(spark, "spark.sql.files.openCostInBytes", str(OPENING_BYTES)):
